@@ -1,9 +1,21 @@
-"""The corpus pipeline: documents through near-dedup so far; the other stages follow."""
+"""The corpus pipeline: what stays of ``documents``, stage by stage, packed into sequences."""
 
 from __future__ import annotations
 
-from ambler.llm import near_dedup
-from ambler.llm.common import table
+from pyspark.sql import functions as F
+
+from ambler.llm import langid, near_dedup, packing, quality, substring_dedup
+from ambler.llm.common import materialize, table
+
+
+def identify_language(spark, docs, sf_dir):
+    """Documents in a language that the labelled ones teach stay."""
+    return langid.keep_known(docs, langid.train(langid.training_rows(docs)))
+
+
+def apply_quality_rules(spark, docs, sf_dir):
+    """Documents that pass the word rules and the compression bands stay."""
+    return quality.keep_good(docs)
 
 
 def drop_near_copies(spark, docs, sf_dir):
@@ -11,12 +23,31 @@ def drop_near_copies(spark, docs, sf_dir):
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("near_dedup", drop_near_copies)]
+def cut_repeated_passages(spark, docs, sf_dir):
+    """Passages that a document of smaller id holds go; n_chars follows the text."""
+    done = substring_dedup.dedupe(docs)
+    length = F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", length).select(*docs.columns)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Pieces of sequences of 4096 tokens."""
+    return packing.told(packing.pack(docs))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", apply_quality_rules),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("packing", pack_sequences),
+]
+#: The language model and compression have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
