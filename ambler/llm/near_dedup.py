@@ -12,7 +12,8 @@ threshold are linked, and a class is a connected component of links.
    with no table rows at all.
 3. Star: in each bucket every set is compared with the bucket's least one, on the
    full sets, and components are taken.
-4. Rest: in each bucket that still spans several components, the sets outside its
+4. Rest: in each bucket that still spans several components (of buckets with the
+   same content one is taken), the sets outside its
    largest component are compared with the bucket's others by blocks of bounded
    size; every pair of the bucket across components is tested there.  Sets that
    are linked already are not paired again, no bucket is capped.
@@ -238,12 +239,23 @@ def near_duplicate_classes(
     known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(
         "bucket", "sid", "size", F.coalesce("label", "sid").alias("label")
     )
-    parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("load"))
+    content = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in range(2)]
+    parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("load"), *content)
     blocks_of = lambda load: F.ceil(load / BLOCK_SHINGLES)
     mixed = (
         parts.groupBy("bucket")
-        .agg(F.count("*").alias("labels"), F.max(F.struct("n", "label", "load")).alias("main"), F.sum("load").alias("load"))
+        .agg(
+            F.count("*").alias("labels"),
+            F.sum("n").alias("n"),
+            F.max(F.struct("n", "label", "load")).alias("main"),
+            F.sum("load").alias("load"),
+            *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)],
+        )
         .where("labels > 1")
+        # Tables often bring the same sets together; one bucket of equal content is enough.
+        .groupBy("n", "x0", "x1")
+        .agg(F.min_by(F.struct("bucket", "main", "load"), "bucket").alias("b"))
+        .select("b.*")
         .select(
             "bucket",
             F.col("main.label").alias("main"),
