@@ -1 +1 @@
-
+"""Column functions: counter-based draws and edge biases."""

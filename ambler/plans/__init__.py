@@ -1 +1 @@
-
+"""Intermediate tables, fixture graphs and the query catalog."""

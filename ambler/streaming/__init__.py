@@ -1 +1 @@
-
+"""Walks over streams of seeds."""
