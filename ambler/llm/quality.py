@@ -24,7 +24,7 @@ from ambler.llm.common import slices, table
 from ambler.llm.textblock import Words, mix
 
 #: (bytes from which it holds, lower limit, upper limit) of compressed / raw bytes.
-BANDS = ((256, 0.20, 0.95), (1024, 0.13, 0.85), (4096, 0.09, 0.80), (16384, 0.06, 0.75), (65536, 0.04, 0.70))
+BANDS = ((256, 0.30, 0.95), (1024, 0.25, 0.85), (4096, 0.20, 0.80), (16384, 0.17, 0.75), (65536, 0.15, 0.70))
 CHUNK_BYTES = 4096
 LEVEL = 3
 MIN_WORDS = 50
