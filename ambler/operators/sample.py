@@ -1,6 +1,6 @@
 """k-hop neighbour sampling as a tree of slots.
 
-Rows (instance, hop, parent_slot, slot, node): hop 0 is the seed at slot 0; child i
+Rows (instance, hop, parent_slot, slot, node): hop 0 is the seed at slot 0, under parent_slot -1; child i
 of a parent has slot parent_slot * fanout + i.  Methods:
 
 uniform            fanout draws with replacement
@@ -103,7 +103,7 @@ def neighbor_sample(graph: Graph, seeds: DataFrame, fanouts=SAGE_FANOUTS, method
     degrees = graph.edges.where("pos = 0").select(F.col("src").alias("node"), F.col("src_deg").alias("deg"))
     state = seeds.join(degrees, "node", "left").select(
         F.col("instance").cast("long").alias("instance"),
-        F.lit(None).cast("long").alias("parent_slot"),
+        F.lit(-1).cast("long").alias("parent_slot"),
         F.lit(0).cast("long").alias("slot"),
         F.col("node").cast("long").alias("node"),
         F.coalesce("deg", F.lit(0).cast("long")).alias("deg"),

@@ -83,7 +83,7 @@ _FLOORED = "case when e.dst = s.prev then 2.0 else 1.0 end"
 
 def _sample_sql(raw: str, fanouts, method: str, last: str | None = None) -> str:
     stride = prod(fanouts)
-    parts = ["s0 as (select id as instance, cast(null as bigint) as parent_slot, cast(0 as bigint) as slot, id as node, deg from vertices)"]
+    parts = ["s0 as (select id as instance, cast(-1 as bigint) as parent_slot, cast(0 as bigint) as slot, id as node, deg from vertices)"]
     for hop, f in enumerate(fanouts, 1):
         before, parent = f"s{hop - 1}", f"(instance * {stride} + slot)"
         if method == "weighted_distinct":
