@@ -314,9 +314,10 @@ def keep_one(docs: DataFrame, threshold: Fraction = Fraction(80, 100), r: int =
     classes = near_duplicate_classes(docs.select("doc_id", "text"), threshold, r, m)
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id")
     dropped = classes.where("not (h <=> component_h and doc_id <=> component_id)").select(id_key, F.col("h").alias("__h"))
-    keyed = docs.select("*", id_key, row_hash().alias("__h"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    keyed = docs.select(row, id_key, row_hash().alias("__h"))
     rest = keyed.join(dropped, ["__id", "__h"], "left_anti").dropDuplicates(["__id", "__h"])
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.select("__row.*")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
