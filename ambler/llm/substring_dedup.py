@@ -37,11 +37,17 @@ _SLICE = 1 << 20
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """Gear hash (h = 2 h + G[byte]) after each byte; 32 bits, so of the last 32 bytes."""
+def gear(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Gear hash (h = 2 h + G[byte]) after each byte; 32 bits, so of the last 32 bytes.
+
+    ``starts`` are the rows' first bytes: a row's hashes don't look behind them.
+    """
     h = _GEAR[data]
     for width in (1, 2, 4, 8, 16):
-        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
+        earlier = h[:-width] << np.uint32(width)
+        outside = (starts[:, None] - width + np.arange(width)).ravel()
+        earlier[outside[(outside >= 0) & (outside < len(earlier))]] = 0
+        h[width:] += earlier
     return h
 
 
@@ -50,7 +56,7 @@ def chunk_ends(words: Words, reach: int = REACH, longest: int = LONGEST) -> np.n
     n = len(words.hash)
     if not n:
         return np.zeros(0, bool)
-    value = mix(gear(words.data)[words.end - 1].astype(np.uint64))
+    value = mix(gear(words.data, words.offsets[:-1])[words.end - 1].astype(np.uint64))
     row = np.repeat(np.arange(len(words.counts)), words.counts)
     ends = np.ones(n, bool)
     for d in range(1, reach + 1):
