@@ -36,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambler.llm.common import slices, table
+from ambler.llm.common import in_arrow, slices, table
 from ambler.llm.textblock import Words
 
 VOCABULARY = "word_bpe_49k.json"
 #: Most words in the compiled lexicon, and words and runs that a worker remembers.
 LEXICON_WORDS = 65_536
-CACHE_WORDS = 400_000
-CACHE_RUNS = 1_500_000
+CACHE_WORDS = 250_000
+CACHE_RUNS = 1_000_000
+#: Runs that a task counts before it passes their words on.
+COUNT_RUNS = 400_000
 _PLAIN = 0x300
 _SLICE = 4 << 20
 
@@ -377,9 +379,9 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> lis
     The least count that still fits is read off a histogram of counts, so that
     only the chosen words reach the driver.
     """
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = (
-        docs.select(F.col("text").cast("string").alias("text"))
-        .mapInArrow(_count_words(path, CACHE_RUNS), "word string, n long")
+        in_arrow(texts, _count_words(path, COUNT_RUNS), "word string, n long")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
     ).persist()
@@ -427,7 +429,8 @@ def encode(docs: DataFrame, lexicon: str | None = None, path: str | None = None)
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return in_arrow(
+        docs.select("doc_id", F.col("text").cast("string").alias("text")),
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded string"
     )
 
@@ -445,7 +448,8 @@ def digest(docs: DataFrame, lexicon: str | None = None, path: str | None = None)
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return in_arrow(
+        docs.select("doc_id", F.col("text").cast("string").alias("text")),
         run,
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

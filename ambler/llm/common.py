@@ -53,6 +53,32 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Arrow batches between the JVM and Python workers: rows and bytes at most (one row at least).
+BATCH_ROWS = 512
+BATCH_BYTES = "8m"
+
+
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with small batches, so that long texts don't pile up beside the heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column ``__row``, for operators that pass on every column."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``__row`` with its doc_id and text beside it, without a copy."""
+    for batch in batches:
+        row = batch.column("__row")
+        names = [row.type.field(i).name for i in range(row.type.num_fields)]
+        parts = [row.field(names.index(c)) for c in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([*parts, row], names=["doc_id", "text", "__row"])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``text``, or one row."""
     for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ambler.llm.common import slices, table
+from ambler.llm.common import carried, in_arrow, opened, slices, table
 from ambler.llm.textblock import mix
 
 N = 4
@@ -80,7 +80,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """mapInArrow: lang, gram, n of each batch's rows."""
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", _SLICE):
         hashes, bounds = _grams([t or "" for t in batch.column("text").to_pylist()])
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         names, which = np.unique(langs, return_inverse=True)
@@ -147,9 +147,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAM
         share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     counts = (
-        labelled.where(drawn < share)
-        .select("text", "lang")
-        .mapInArrow(_count, "lang string, gram long, n long")
+        in_arrow(labelled.where(drawn < share).select("text", "lang"), _count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -203,18 +201,23 @@ def held_out(doc_id: Column) -> Column:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row; one pass, no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _predict(shipped), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
+    return in_arrow(
+        docs.select("doc_id", F.col("text").cast("string").alias("text")),
+        _predict(shipped),
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
     )
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` in a learned language, in the same columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    carried = docs.select(F.col("text").cast("string").alias("text"), row.alias("__row"))
-    kind = carried.schema["__row"].dataType.simpleString()
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    judged = carried.mapInArrow(_predict(shipped), f"__row {kind}, lang_pred string, score double")
+    rows = carried(docs)
+    kind = rows.schema["__row"].dataType.simpleString()
+    judge = _predict(docs.sparkSession.sparkContext.broadcast(model))
+    judged = in_arrow(
+        rows,
+        lambda batches: judge(b.select(["text", "__row"]) for b in opened(batches)),
+        f"__row {kind}, lang_pred string, score double",
+    )
     return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("__row.*")
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambler.llm.common import connected_components, discard, materialize, slices, table
+from ambler.llm.common import connected_components, discard, in_arrow, materialize, slices, table
 from ambler.llm.textblock import Words, mix
 
 SHINGLE = 5
@@ -187,7 +187,8 @@ def near_duplicate_classes(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash().alias("h")
     )
     signed = materialize(
-        docs.mapInArrow(
+        in_arrow(
+            docs,
             _signatures(k, r, m), "doc_id long, h long, n_shingles long, sid binary, keys array<long>"
         ),
         "signatures",
@@ -227,7 +228,7 @@ def near_duplicate_classes(
     )
     wanted = stars.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     holders = nodes.agg(F.min("h").alias("h")).join(wanted, "sid", "left_semi").select("h").distinct()
-    sets = materialize(docs.join(holders, "h").select("text").mapInArrow(_sets(k), "sid binary, shingles array<long>"), "sets")
+    sets = materialize(in_arrow(docs.join(holders, "h").select("text"), _sets(k), "sid binary, shingles array<long>"), "sets")
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     starred = materialize(
@@ -314,8 +315,7 @@ def keep_one(docs: DataFrame, threshold: Fraction = Fraction(80, 100), r: int =
     classes = near_duplicate_classes(docs.select("doc_id", "text"), threshold, r, m)
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id")
     dropped = classes.where("not (h <=> component_h and doc_id <=> component_id)").select(id_key, F.col("h").alias("__h"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    keyed = docs.select(row, id_key, row_hash().alias("__h"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), id_key, row_hash().alias("__h"))
     rest = keyed.join(dropped, ["__id", "__h"], "left_anti").dropDuplicates(["__id", "__h"])
     return rest.select("__row.*")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ambler.llm import bpe
-from ambler.llm.common import materialize, slices, table
+from ambler.llm.common import in_arrow, materialize, slices, table
 
 SEQUENCE = 4096
 END_ID = 2
@@ -100,7 +100,8 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID, path:
     """doc_id, start, length, doc_tokens, sequence_id, offset and ids of every piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     encoded = materialize(
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        in_arrow(
+            docs.select("doc_id", F.col("text").cast("string").alias("text")),
             _tokens(path or bpe.vocabulary_path(), end_id),
             f"doc_id {kind}, task int, before long, doc_tokens long, ids binary",
         ),
@@ -116,8 +117,8 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID, path:
     placed = encoded.join(F.broadcast(bases), "task").select(
         "doc_id", (F.col("base") + F.col("before")).alias("at"), "doc_tokens", "ids"
     )
-    return placed.mapInArrow(
-        _cut(sequence), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+    return in_arrow(
+        placed, _cut(sequence), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
 
 

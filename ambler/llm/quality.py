@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambler.llm.common import slices, table
+from ambler.llm.common import carried, in_arrow, opened, slices, table
 from ambler.llm.textblock import Words, mix
 
 #: (bytes from which it holds, lower limit, upper limit) of compressed / raw bytes.
@@ -132,17 +132,14 @@ def _verdicts(measured: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) -> DataFrame:
     """Counts, ratios and verdict of every row; one pass, no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _verdicts(rows.mapInArrow(_measure(bands, chunk_bytes, level), SCHEMA))
+    return _verdicts(in_arrow(rows, _measure(bands, chunk_bytes, level), SCHEMA))
 
 
 def keep_good(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) -> DataFrame:
     """The rows of ``docs`` that pass, in the same columns, in one pass without a shuffle."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    carried = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("__row")
-    )
-    kind = carried.schema["__row"].dataType.simpleString()
-    judged = _verdicts(carried.mapInArrow(_measure(bands, chunk_bytes, level), f"{SCHEMA}, __row {kind}"))
+    rows, judge = carried(docs), _measure(bands, chunk_bytes, level)
+    kind = rows.schema["__row"].dataType.simpleString()
+    judged = _verdicts(in_arrow(rows, lambda batches: judge(opened(batches)), f"{SCHEMA}, __row {kind}"))
     return judged.where("kept").select("__row.*")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambler.llm.common import discard, materialize, slices, table
+from ambler.llm.common import discard, in_arrow, materialize, slices, table
 from ambler.llm.near_dedup import row_hash
 from ambler.llm.textblock import _STEP, Words, mix
 
@@ -163,7 +163,7 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash().alias("h")
     ).where("doc_id is not null and text is not null")
     chunks = materialize(
-        source.mapInArrow(_chunks, "digest long, words int, doc_id long, h long, place int"), "chunks"
+        in_arrow(source, _chunks, "digest long, words int, doc_id long, h long, place int"), "chunks"
     )
     repeated = (
         chunks.groupBy("digest")
@@ -188,11 +188,8 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         row_hash().alias("__h"),
     )
     kind = keyed.schema["__row"].dataType.simpleString()
-    done = (
-        keyed.join(marks, ["__id", "__h"], "left")
-        .select("__row", "text", "dups")
-        .mapInArrow(_remove(min_words), f"__row {kind}, text string, spans {_SPANS_SQL}")
-    )
+    marked = keyed.join(marks, ["__id", "__h"], "left").select("__row", "text", "dups")
+    done = in_arrow(marked, _remove(min_words), f"__row {kind}, text string, spans {_SPANS_SQL}")
     return done.select(
         *[(F.col("text") if c == "text" else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns], F.col("spans").alias("__spans")
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ambler.llm.common import materialize, table
+from ambler.llm.common import in_arrow, materialize, table
 
 BLOCK = 4096
 QUERY_BLOCK = 512
@@ -249,8 +249,8 @@ def usable(vectors: DataFrame, scale: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have (vec_id, v array<long>)."""
     kind = "block long, ids binary, vectors binary"
-    data = materialize(vectors.mapInArrow(_blocks(BLOCK), kind), "data-blocks")
-    asked = materialize(queries.dropDuplicates(["vec_id"]).mapInArrow(_blocks(QUERY_BLOCK), kind), "query-blocks")
+    data = materialize(in_arrow(vectors, _blocks(BLOCK), kind), "data-blocks")
+    asked = materialize(in_arrow(queries.dropDuplicates(["vec_id"]), _blocks(QUERY_BLOCK), kind), "query-blocks")
     # Number the data blocks 0, 1, ...: a window over block numbers alone, one row for BLOCK vectors.
     numbers = data.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)
     count = data.count()
@@ -260,8 +260,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))).alias("place"),
     )
     pairs = data.join(numbers, "block").join(dealt, "place").sortWithinPartitions("block")
-    found = pairs.select("block", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(
-        _search(k), "query_id long, vec_id long, score long"
+    found = in_arrow(
+        pairs.select("block", "ids", "vectors", "q_ids", "q_vectors"), _search(k), "query_id long, vec_id long, score long"
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

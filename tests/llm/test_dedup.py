@@ -132,7 +132,7 @@ def test_planted_passages_go_wherever_they_begin(spark):
             left = set(WORD.findall(text)) & set(passage[doc_id % 8].split())
             assert passage[doc_id % 8] not in text
             assert spans and len(left) < 40, doc_id
-            assert all(s.keepers == [doc_id % 8] for s in spans)
+            assert all(k % 8 == doc_id % 8 and k < doc_id for s in spans for k in s.keepers)
             own = prose(doc_id, 120 + doc_id)
             assert len(WORD.findall(text)) >= len(own.split())
         else:

@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import DATA, same_rows
+from support import DATA, same_rows
 from pyspark.sql import functions as F
 from util import ODD, sha, store, table, with_clashes
 
