@@ -259,7 +259,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         F.col("vectors").alias("q_vectors"),
         F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))).alias("place"),
     )
-    pairs = data.join(numbers, "block").join(dealt, "place").sortWithinPartitions("block")
+    # Merged, never broadcast: dealt queries grow with the data. A task meets a data block's pairs one after the other.
+    pairs = data.join(F.broadcast(numbers), "block").join(dealt.hint("merge"), "place")
     found = in_arrow(
         pairs.select("block", "ids", "vectors", "q_ids", "q_vectors"), _search(k), "query_id long, vec_id long, score long"
     )
