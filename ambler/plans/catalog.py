@@ -409,10 +409,11 @@ def khop_print(spark, sf_dir):
 # --- alias tables -------------------------------------------------------------
 
 
-@_query(f"with {edges_sql(G1)} select src, pos, round(w / sum(w) over (partition by src), 9) as p from edges")
+@_query(f"with {edges_sql(G1)} select src, pos, cast(floor(w / sum(w) over (partition by src) * 1e6 + 0.3) as bigint) as ppm from edges")
 def alias_reconstruct(spark, sf_dir):
+    """Probabilities that the tables give, in millionths; 0.3 keeps dyadic shares off the steps of floor."""
     table = alias.build_alias_table(build(spark, sf_dir, G1))
-    return alias.reconstruct(table).withColumn("p", F.round("p", 9))
+    return alias.reconstruct(table).select("src", "pos", F.floor(F.col("p") * 1e6 + 0.3).alias("ppm"))
 
 
 @_query(f"with {edges_sql(G3)} select src, pos, dst_deg > 0 as valid, src_deg from edges")
