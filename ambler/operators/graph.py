@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ambler.functions import rng
 
 
+#: Destinations in a block of a row: edges are numbered inside blocks, so a hub's row is many windows.
+BLOCK_IDS = 1 << 20
+
+
 def _long(name: str) -> Column:
     return F.col(name).cast("long").alias(name)
 
@@ -42,15 +46,22 @@ class Graph:
             raw = raw.groupBy("src", "dst").agg(F.sum("w").alias("w"))
         elif duplicates != "keep":
             raise ValueError(f"duplicates: {duplicates!r}")
-        row = Window.partitionBy("src")
-        out = raw.withColumn("pos", F.row_number().over(row.orderBy("dst", "w")).cast("long") - 1).withColumn(
-            "src_deg", F.count("*").over(row)
+        blocked = raw.withColumn("block", F.floor(F.col("dst") / BLOCK_IDS))
+        earlier = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        counts = blocked.groupBy("src", "block").agg(F.count("*").alias("n"))
+        bases = counts.select(
+            "src",
+            "block",
+            F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("base"),
+            F.sum("n").over(Window.partitionBy("src")).alias("src_deg"),
         )
+        inside = F.row_number().over(Window.partitionBy("src", "block").orderBy("dst", "w"))
+        numbered = blocked.withColumn("inside", inside.cast("long") - 1).join(bases, ["src", "block"])
         degrees = raw.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("dst_deg"))
         return cls(
-            out.join(degrees, "dst", "left").select(
-                "src", "pos", "dst", "w", "src_deg", F.coalesce("dst_deg", F.lit(0).cast("long")).alias("dst_deg")
-            )
+            numbered.withColumn("pos", F.col("base") + F.col("inside"))
+            .join(degrees, "dst", "left")
+            .select("src", "pos", "dst", "w", "src_deg", F.coalesce("dst_deg", F.lit(0).cast("long")).alias("dst_deg"))
         )
 
     @classmethod

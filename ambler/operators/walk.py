@@ -13,6 +13,7 @@ edges number at most ``LOCAL_EDGES``, and walks all steps in one pass.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +250,24 @@ class Csr:
     prob: np.ndarray | None = None
     alias: np.ndarray | None = None
 
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """Edges as ascending numbers, to look one up; made once in a worker."""
+        n = len(self.first) - 1
+        return np.repeat(np.arange(n), np.diff(self.first)) * n + self.dst
+
+    @cached_property
+    def cum(self) -> np.ndarray:
+        """Running weight inside each row."""
+        sums = np.concatenate([[0.0], np.cumsum(self.w)])
+        return sums[1:] - np.repeat(sums[self.first[:-1]], np.diff(self.first))
+
+    @cached_property
+    def total(self) -> np.ndarray:
+        """Weight of each row."""
+        sums = np.concatenate([[0.0], np.cumsum(self.w)])
+        return sums[self.first[1:]] - sums[self.first[:-1]]
+
     @classmethod
     def collect(cls, graph: Graph, table: bool) -> Csr:
         """All edges on the driver; only for graphs within LOCAL_EDGES."""
@@ -286,22 +305,31 @@ def _step_local(g: Csr, spec: WalkSpec, walker, node, prev, t):
         slot = begin + h % count
         keep = draw_numpy(walker[at], t, Channel.COIN, spec.seed) < g.prob[slot] * M
         moved = g.dst[np.where(keep, slot, begin + g.alias[slot])]
-        has = _row_sum(g, node[at]) > 0
+        has = g.total[node[at]] > 0
         to[at[has]] = moved[has]
         return to
+    if spec.bias == "weight":
+        total = g.total[node[at]]
+        lo, hi = begin.copy(), begin + count
+        while (open_ := lo < hi).any():
+            mid = np.minimum((lo + hi) // 2, len(g.dst) - 1)
+            past = g.cum[mid] * M > h * total
+            hi = np.where(open_ & past, mid, hi)
+            lo = np.where(open_ & ~past, mid + 1, lo)
+        has = total > 0
+        to[at[has]] = g.dst[lo[has]]
+        return to
     # Biases of all edges of all walkers' rows, end to end.
     ends = np.cumsum(count)
     edge = np.repeat(begin - (ends - count), count) + np.arange(ends[-1])
     owner = np.repeat(np.arange(len(at)), count)
-    bias = g.w[edge].astype(np.float64)
-    if spec.bias.startswith("node2vec"):
-        last = prev[at][owner]
-        back, second = g.dst[edge] == last, last >= 0
-        if spec.bias == "node2vec_floor":
-            bias = np.where(back & second, 2.0, 1.0)
-        else:
-            joined = _connected(g, last, g.dst[edge])
-            bias = np.where(~second, bias, np.where(back, bias / spec.p, np.where(joined, bias, bias / spec.q)))
+    last = prev[at][owner]
+    back, second = g.dst[edge] == last, last >= 0
+    if spec.bias == "node2vec_floor":
+        bias = np.where(back & second, 2.0, 1.0)
+    else:
+        w, joined = g.w[edge], _connected(g, last, g.dst[edge])
+        bias = np.where(~second, w, np.where(back, w / spec.p, np.where(joined, w, w / spec.q)))
     sums = np.concatenate([[0.0], np.cumsum(bias)])
     cum = sums[1:] - sums[ends - count][owner]
     total = sums[ends] - sums[ends - count]
@@ -311,18 +339,11 @@ def _step_local(g: Csr, spec: WalkSpec, walker, node, prev, t):
     return to
 
 
-def _row_sum(g: Csr, node: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(g.w)])
-    return sums[g.first[node + 1]] - sums[g.first[node]]
-
-
 def _connected(g: Csr, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n = len(g.first) - 1
-    src = np.repeat(np.arange(n), np.diff(g.first))
-    keys = src * n + g.dst
     wanted = np.where(a >= 0, a * n + b, -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted
+    at = np.minimum(np.searchsorted(g.keys, wanted), len(g.keys) - 1)
+    return g.keys[at] == wanted
 
 
 def _local_walk(graph: Graph, seeds: DataFrame, spec: WalkSpec) -> DataFrame:

@@ -12,6 +12,14 @@ def test_edges_are_numbered_by_destination(spark):
     assert got == [(5, 0, 7, 1.0, 2, 0), (5, 1, 9, 2.0, 2, 1), (9, 0, 5, 4.0, 1, 2)]
 
 
+def test_rows_are_numbered_across_blocks(spark, monkeypatch):
+    edges = [(7, d, float(d % 3)) for d in (5, 1, 900, 17, 16, 15, 901, 33)] + [(8, 2, 1.0)]
+    expected = sorted(map(tuple, graph(spark, edges).edges.collect()))
+    monkeypatch.setattr(G, "BLOCK_IDS", 16)
+    got = sorted(map(tuple, graph(spark, edges).edges.collect()))
+    assert got == expected and [r[1] for r in got[:8]] == list(range(8))
+
+
 def test_vertices_and_stats(spark):
     g = graph(spark, SINK)
     assert sorted(tuple(r) for r in g.vertices.select("id", "deg", "valid").collect()) == [(0, 1, True), (1, 1, True), (2, 0, False)]
