@@ -57,7 +57,7 @@ class Graph:
         )
         inside = F.row_number().over(Window.partitionBy("src", "block").orderBy("dst", "w"))
         numbered = blocked.withColumn("inside", inside.cast("long") - 1).join(bases, ["src", "block"])
-        degrees = raw.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("dst_deg"))
+        degrees = counts.groupBy(F.col("src").alias("dst")).agg(F.sum("n").alias("dst_deg"))
         return cls(
             numbered.withColumn("pos", F.col("base") + F.col("inside"))
             .join(degrees, "dst", "left")
@@ -75,8 +75,9 @@ class Graph:
 
     def cached(self, partitions: int | None = None) -> Graph:
         """Edges spread by (src, pos) and kept, so that steps shuffle only their walkers."""
-        by = ["src", "pos"]
-        spread = self.edges.repartition(partitions, *by) if partitions else self.edges.repartition(*by)
+        # A stated number, at least that of later shuffles: AQE doesn't merge it, and joins keep it.
+        n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = self.edges.repartition(n, "src", "pos")
         return Graph(spread.persist())
 
     @cached_property

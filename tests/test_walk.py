@@ -96,11 +96,24 @@ def test_wrong_names_are_refused(spark):
         random_walk(g, seeds(spark, 1), WalkSpec(1), strategy="fast")
 
 
-def test_step_join_needs_no_shuffle_of_spread_edges(spark):
-    """The edges are hashed by (src, pos) once; a step only moves walkers."""
-    g = graph(spark, KITE).cached(4)
-    walks = random_walk(g, seeds(spark, 10), WalkSpec(3), "join")
-    assert walks.count() == 40
+def test_step_join_shuffles_walkers_only(spark):
+    """Edges spread by (src, pos) keep their partitioning; only the walkers' side has an exchange."""
+    g = graph(spark, KITE).cached()
+    g.edges.count()
+    state = seeds(spark, 10).withColumn("node", F.col("walker") % 4).withColumn("deg", F.lit(2).cast("long")).withColumn("alive", F.lit(True))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        step = walk._uniform_step(g, WalkSpec(3))(state, 0)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    above_cache = plan.split("InMemoryRelation")[0]
+    assert "SortMergeJoin" in above_cache or "ShuffledHashJoin" in above_cache
+    assert above_cache.count("Exchange hashpartitioning") == 1
+    assert step.count() == 10
 
 
 def test_metrics(spark):
