@@ -119,16 +119,16 @@ def deduped(spark, rows):
 
 
 def test_planted_passages_go_wherever_they_begin(spark):
-    passage = [prose(900 + k, 55) for k in range(8)]
+    passage = [prose(900 + k, 51) for k in range(8)]
     rows = []
-    for i in range(40):
+    for i in range(120):
         own = prose(i, 120 + i).split()
         cut = 11 + (i * 7) % 90
         rows.append((i, " ".join(own[:cut]) + (" " if i % 2 else "\n") + passage[i % 8] + " " + " ".join(own[cut:])))
-    rows += [(100 + i, prose(2000 + i, 150)) for i in range(40)]
+    rows += [(200 + i, prose(2000 + i, 150)) for i in range(40)]
     for doc_id, text, spans in deduped(spark, rows):
         before = dict(rows)[doc_id]
-        if 8 <= doc_id < 100:
+        if 8 <= doc_id < 200:
             left = set(WORD.findall(text)) & set(passage[doc_id % 8].split())
             assert passage[doc_id % 8] not in text
             assert spans and len(left) < 40, doc_id
@@ -175,6 +175,18 @@ def test_chunks_meet_again_after_an_insertion():
     assert same.size.max() <= substring_dedup.LONGEST and same.size.sum() == 501 and same.bounds[-1] == len(same.size)
 
 
+def test_every_word_of_a_chunk_counts():
+    import pyarrow as pa
+
+    from ambler.llm.textblock import Words
+
+    words = ["same"] * substring_dedup.LONGEST
+    texts = [" ".join(words)] + [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(len(words))]
+    for text in texts[1:]:
+        one, two = (substring_dedup.Chunks(Words(pa.array([t]), lower=False)) for t in (texts[0], text))
+        assert not set(one.digest) & {d for d, n in zip(two.digest, two.size) if n == substring_dedup.LONGEST}
+
+
 def test_chunks_do_not_depend_on_other_rows():
     import pyarrow as pa
 

@@ -76,19 +76,20 @@ def without_passages(rows):
     cut = {i: substring_dedup.Chunks(Words(pa.array([t]), lower=False)) for i, t in rows}
     first = {}
     for i in sorted(cut):
-        for d in cut[i].digest.tolist():
+        for d in cut[i].windows()[0].tolist():
             first.setdefault(d, i)
     out = []
     for i, text in rows:
         words, chunks = Words(pa.array([text]), lower=False), cut[i]
-        dup = [first[d] != i for d in chunks.digest.tolist()]
+        marked = [first[d] != i for d in chunks.windows()[0].tolist()]
+        dup = [any(marked[max(0, c - 1) : c + 1]) for c in range(len(chunks.size))]
         held, k = text.encode(), 0
         keep, last = [], 0
         while k < len(dup):
             end = k
             while end < len(dup) and dup[end]:
                 end += 1
-            if end - k >= 2 and chunks.size[k:end].sum() >= substring_dedup.MIN_WORDS:
+            if end > k and chunks.size[k:end].sum() >= substring_dedup.MIN_WORDS:
                 keep.append(held[last : words.start[chunks.first[k]]])
                 last = int(words.end[chunks.last[end - 1]])
             k = max(end, k + 1)
