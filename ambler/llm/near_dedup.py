@@ -287,15 +287,19 @@ def near_duplicate_classes(
     labels = connected_components(links)
 
     least = nodes.agg(F.min(row).alias("least"))
-    classes = least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    first = classes.groupBy("label").agg(F.min("least").alias("first"))
+    classes = materialize(
+        least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")),
+        "labelled",
+    )
+    # Written first, so that the join deals both sides anew and can split a class of many sets.
+    first = materialize(classes.groupBy("label").agg(F.min("least").alias("first")), "least")
     named = materialize(
         classes.join(first, "label").select(
             "sid", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("component_h")
         ),
         "classes",
     )
-    discard(live, members, stars, sets, starred, links)
+    discard(live, members, stars, sets, starred, links, classes, first)
     alone = F.col("sid").isNull()
     return signed.join(named, "sid", "left").select(
         "doc_id",
