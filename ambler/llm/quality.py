@@ -6,6 +6,17 @@ repeats itself, above the upper one it does not compress as language does.  A
 document fails on its whole ratio, or where more than half of its chunk bytes lie
 outside their bands.  Texts shorter than the first band are not judged by ratio.
 
+Limits come from general text (English licences and manuals, translated messages in
+Polish, German, French, Spanish, Finnish, Russian, Greek, Arabic, Japanese and Korean)
+and from noise.  Ratios fall with length, so a band's upper limit is over what dense
+text measures where the band begins and under what noise measures where it ends.
+Printable noise, base64 and random letters with digits are over it in every band;
+random letters of both cases from 768 bytes on, small letters with digits from 1,536,
+small letters alone from 2,048, hexadecimal from 8,192.  Below these lengths the ratio
+cannot tell them from language.  Lower limits are near the first percentile of
+the same texts.  Chinese measures higher than these texts (0.59 at 4,096 bytes), but
+without white space it fails for its few words anyway.
+
 Edge cases: null text counts as empty and fails for having no words; a text of
 one very long word is one chunk run like any other; repeated rows are judged
 alike; an empty table gives an empty result; further columns are not read by
@@ -24,7 +35,20 @@ from ambler.llm.common import carried, in_arrow, opened, slices, table
 from ambler.llm.textblock import Words, mix
 
 #: (bytes from which it holds, lower limit, upper limit) of compressed / raw bytes.
-BANDS = ((256, 0.30, 0.95), (1024, 0.25, 0.85), (4096, 0.20, 0.80), (16384, 0.17, 0.75), (65536, 0.15, 0.70))
+BANDS = (
+    (256, 0.36, 0.84),
+    (384, 0.33, 0.80),
+    (512, 0.31, 0.77),
+    (768, 0.28, 0.725),
+    (1024, 0.25, 0.69),
+    (1536, 0.25, 0.64),
+    (2048, 0.25, 0.59),
+    (3072, 0.25, 0.57),
+    (4096, 0.20, 0.55),
+    (8192, 0.20, 0.51),
+    (16384, 0.17, 0.49),
+    (65536, 0.15, 0.46),
+)
 CHUNK_BYTES = 4096
 LEVEL = 3
 MIN_WORDS = 50

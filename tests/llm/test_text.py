@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 import zlib
 from collections import Counter
 
@@ -175,6 +176,34 @@ def test_bands_reject_repetition_and_noise(spark):
     assert kept.where("doc_id = 1").first().text == prose(1, 400)
 
 
+def noise(kind, n, seed):
+    """n bytes of random characters: lines of 20, or words of 2 to 10."""
+    r = random.Random(f"{kind} {n} {seed}")
+    small, digits = string.ascii_lowercase, string.digits
+    alphabet = {"base64": string.ascii_letters + digits + "+/", "alnum": string.ascii_letters + digits, "both cases": string.ascii_letters,
+                "small alnum": small + digits, "small": small, "hex": digits + "abcdef"}[kind]
+    if kind in ("base64", "hex"):
+        return "\n".join("".join(r.choices(alphabet, k=20)) for _ in range(n // 20 + 1))[:n]
+    return " ".join("".join(r.choices(alphabet, k=r.randint(2, 10))) for _ in range(n // 3 + 1))[:n]
+
+
+def test_noise_of_several_alphabets_fails_in_every_band(spark):
+    starts = [b[0] for b in quality.BANDS]
+    lengths = sorted({*starts, *(s - 1 for s in starts[1:]), 200_000})
+    since = {"base64": 256, "alnum": 256, "both cases": 768, "small alnum": 1536, "small": 2048, "hex": 8192}
+    cases = [(kind, n, seed) for kind, least in since.items() for n in lengths if n >= least for seed in range(5)]
+    rows = [(i, noise(*case)) for i, case in enumerate(cases)]
+    found = quality.measure(table(spark, rows)).where("not band_failed").collect()
+    assert [(cases[r.doc_id], r.ratio) for r in found] == []
+
+
+def test_clean_documents_stay_inside_the_bands(spark):
+    clean = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").join(clean, "doc_id")
+    found = quality.measure(docs).where("not base_failed")
+    assert found.count() > 0 and found.where("band_failed").count() == 0
+
+
 def test_word_hashes_see_whole_words():
     words = Words(pa.array(["a bc\tabc\n", None, "ABC a", "é", ""]), lower=True)
     assert words.counts.tolist() == [3, 0, 2, 1, 0]
