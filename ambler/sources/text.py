@@ -24,16 +24,17 @@ def read_edge_list(spark: SparkSession, path: str, sep: str = " ", weighted: boo
 def read_matrix_market(spark: SparkSession, path: str) -> Graph:
     """Coordinate files, numbered from 1; symmetric ones go both ways.
 
-    The size line is the first one that is no comment; entries equal to it in all
-    three numbers are taken for it.
+    The size line is the first one that is no comment, and is left out by its place
+    in the file; entries that equal it stay.
     """
-    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("place"))
     head = lines.where("value like '\\%\\%MatrixMarket%'").first()
     kind = head.value.lower() if head else ""
     rows = lines.where("not value rlike '^\\\\s*(%|$)'")
-    size = rows.first()
+    size = rows.agg(F.min("place").alias("place")).first().place
     if size is not None:
-        rows = rows.where(F.trim("value") != size.value.strip())
+        rows = rows.where((F.col("place.block") != size.block) | (F.col("place.row") != size.row))
     cells = F.split(F.trim("value"), "\\s+")
     edges = rows.select(cells.alias("c")).select(
         (F.get("c", F.lit(0)).cast("long") - 1).alias("src"),

@@ -56,6 +56,19 @@ def test_matrix_market(spark, tmp_path):
     assert rows(g.edges.select("src", "dst", "w")) == [(0, 1, 5.0), (1, 0, 5.0), (2, 2, 1.5)]
 
 
+@pytest.mark.parametrize("split", ["128m", "16"])
+def test_matrix_market_keeps_an_entry_that_equals_the_size_line(spark, tmp_path, split):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% c\n3 3 3\n1 2 5.0\n3 3 3\n2 1 1.5\n")
+    (tmp_path / "empty.mtx").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        g = text.read_matrix_market(spark, str(tmp_path / "m.mtx"))
+        assert rows(g.edges.select("src", "dst", "w")) == [(0, 1, 5.0), (1, 0, 1.5), (2, 2, 3.0)]
+        assert rows(text.read_matrix_market(spark, str(tmp_path / "empty.mtx")).edges) == []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_parquet_and_metrics_sinks(spark, tmp_path):
     g = graph(spark, FORK)
     text.write_parquet(g, str(tmp_path / "g"))
