@@ -3,8 +3,10 @@
 Chunks end at words.  The gear hash of the 32 bytes before each word's end is
 local to the text there, and a chunk ends where that hash is least among the
 ``REACH`` words on either side; so chunks have REACH + 1 words at least, and
-boundaries meet again soon after an insertion.  Runs of text without such a place
-are cut every ``LONGEST`` words.
+boundaries meet again soon after an insertion.  Text with a period of at most REACH
+words has no such place: it is cut every ``PERIODIC`` words from the first word whose
+hash repeats, whatever precedes it.  Other runs without one are cut every ``LONGEST``
+words.
 
 The unit that is looked up is a window of two neighbouring chunks, named by the
 digests of both; so a short phrase that many texts share is no match.  Of the
@@ -34,6 +36,8 @@ from ambler.llm.textblock import _STEP, Words, mix
 
 REACH = 3
 LONGEST = 64
+#: A multiple of every period up to REACH, so that cuts come at the same place of the period.
+PERIODIC = 12
 MIN_WORDS = 18
 _SLICE = 1 << 20
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -61,15 +65,22 @@ def chunk_ends(words: Words, reach: int = REACH, longest: int = LONGEST) -> np.n
     value = mix(gear(words.data, words.offsets[:-1])[words.end - 1].astype(np.uint64))
     row = np.repeat(np.arange(len(words.counts)), words.counts)
     ends = np.ones(n, bool)
+    periodic = np.zeros(n, bool)
     for d in range(1, reach + 1):
         same = row[d:] == row[:-d]
+        periodic[d:] |= same & (value[d:] == value[:-d])
         ends[d:] &= same & (value[d:] < value[:-d])
         ends[:d] = False
         ends[:-d] &= same & (value[:-d] <= value[d:])
         ends[n - d :] = False
+    position = np.arange(n)
+    # Words since the periodic run's first one.
+    begins = periodic.copy()
+    begins[1:] &= ~periodic[:-1] | (row[1:] != row[:-1])
+    since = position - np.maximum.accumulate(np.where(begins, position, 0))
+    ends |= periodic & (since % PERIODIC == 0)
     ends[words.bounds[1:][words.counts > 0] - 1] = True
     # Words since the last end, to cut what is too long.
-    position = np.arange(n)
     last = np.maximum.accumulate(np.where(np.concatenate([[True], ends[:-1]]), position, 0))
     ends |= (position - last) % longest == longest - 1
     return ends

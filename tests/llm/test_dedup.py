@@ -199,6 +199,22 @@ def test_chunks_do_not_depend_on_other_rows():
         assert many.digest[many.bounds[i] : many.bounds[i + 1]].tolist() == one.digest.tolist()
 
 
+@pytest.mark.parametrize("unit", ["same", "| --- |", "ab cd", "."])
+def test_periodic_text_is_cut_wherever_it_begins(unit):
+    import pyarrow as pa
+
+    from ambler.llm.textblock import Words
+
+    passage = " ".join((unit.split() * 90)[:90])
+    texts = [" ".join([prose(i, 20 + i), passage, prose(100 + i, 30)]) for i in range(40)]
+    chunks = substring_dedup.Chunks(Words(pa.array(texts), lower=False))
+    digests, sizes, bounds = chunks.windows()
+    first = set(digests[: bounds[1]].tolist())
+    for i in range(1, 40):
+        at = range(bounds[i], bounds[i + 1])
+        assert sum(int(sizes[k]) for k in at if int(digests[k]) in first) >= 60, i
+
+
 def test_schema_helper(spark):
     assert table(spark, ODD).schema.simpleString() == spark.createDataFrame([], DOCS).schema.simpleString()
     assert table(spark, ODD).where(F.col("text").isNull()).count() == 2
