@@ -12,9 +12,10 @@ The unit that is looked up is a window of two neighbouring chunks, named by the
 digests of both; so a short phrase that many texts share is no match.  Of the
 documents that hold a window the one with the least doc_id keeps it.  Elsewhere the
 windows kept by others are marked, and a run of marked chunks of ``MIN_WORDS`` words
-or more is removed: that catches a passage of 50 words wherever it begins, as
-boundaries leave at most a few words at its ends unmatched (in 4,000 simulated
-passages of 51 words the shortest match had 18), and passes over phrases.
+or more is removed, which passes over phrases.  Removal ends at chunk borders, so
+words at a passage's ends stay, and a passage that matches in fewer than
+``MIN_WORDS`` words stays whole: 30 of 168,500 simulated passages of 51 words; of the
+others 12.9 words stay on average, 33 at most.
 
 Edge cases: null text stays null; a null doc_id keeps its row unchanged; equal
 doc_ids count as one document, so repeated rows don't remove each other; a
