@@ -11,17 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one temporary folder of this process where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the setting is absent in a local session, one temporary folder of this
+    process is set instead and removed at exit; on a cluster that is an error, as
+    executors cannot read each other's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ambler-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Run the driver's collector: executors keep the files of a shuffle until its handle is collected."""
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/ambler-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Cuts lineage so that a lost executor costs a re-read of files, not a rerun.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ambler-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
