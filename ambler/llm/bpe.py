@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambler.llm.common import in_arrow, slices, table
-from ambler.llm.textblock import Words
+from ambler.llm.textblock import Words, same_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-#: Most words in the compiled lexicon, and words and runs that a worker remembers.
+#: Most words in the compiled lexicon, and words, runs and bytes of runs that a worker remembers
+#: (a batch may go over by its own).
 LEXICON_WORDS = 65_536
 CACHE_WORDS = 250_000
 CACHE_RUNS = 1_000_000
+CACHE_BYTES = 32 << 20
 #: Runs that a task counts before it passes their words on.
 COUNT_RUNS = 400_000
 _PLAIN = 0x300
@@ -198,13 +200,27 @@ def _merge(tokenizer, word: str) -> list[int]:
 
 
 class Runs:
-    """Numbers runs between ASCII white space by their 64-bit hashes, without a Python object per run.
+    """Numbers runs between ASCII white space, without a Python object per run.
 
     No token spans white space, so a run's ids don't depend on what stands around it.
+    Runs are looked up by their 64-bit hashes and compared byte by byte with the run that
+    has the number; one that only shares its hash is numbered by its bytes.
     """
 
     def __init__(self):
         self.hashes, self.numbers, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.held, self.start, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clashes: dict[bytes, int] = {}
+
+    def _add(self, words: Words, chosen: np.ndarray) -> list[str]:
+        """Keep the bytes of new runs, numbered from the old size on; returns their texts."""
+        pieces = [words.data[a:b] for a, b in zip(words.start[chosen].tolist(), words.end[chosen].tolist(), strict=True)]
+        lengths = words.end[chosen] - words.start[chosen]
+        self.start = np.concatenate([self.start, len(self.held) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.held = np.concatenate([self.held, *pieces])
+        self.size += len(chosen)
+        return [p.tobytes().decode() for p in pieces]
 
     def number(self, words: Words) -> tuple[np.ndarray, list[str]]:
         """The number of every run, and the texts of the new ones, numbered from the old size on."""
@@ -218,10 +234,18 @@ class Runs:
         numbers[fresh] = self.size + np.arange(len(fresh))
         self.hashes = np.insert(self.hashes, at[fresh], distinct[fresh])
         self.numbers = np.insert(self.numbers, at[fresh], numbers[fresh])
-        self.size += len(fresh)
-        held = words.data.tobytes()
-        texts = [held[a:b].decode() for a, b in zip(words.start[first[fresh]].tolist(), words.end[first[fresh]].tolist(), strict=True)]
-        return numbers[inverse], texts
+        texts = self._add(words, first[fresh])
+        found = numbers[inverse]
+        size = words.end - words.start
+        same = size == self.length[found]
+        same[same] = same_bytes(words.data, words.start[same], self.held, self.start[found[same]], size[same])
+        for i in np.flatnonzero(~same):
+            run = words.data[words.start[i] : words.end[i]].tobytes()
+            if run not in self.clashes:
+                self.clashes[run] = self.size
+                texts += self._add(words, np.array([i]))
+            found[i] = self.clashes[run]
+        return found, texts
 
 
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,7 +319,7 @@ class Encoder:
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column end to end, and the bounds of each row's."""
-        if self.runs.size > CACHE_RUNS:
+        if self.runs.size > CACHE_RUNS or len(self.runs.held) > CACHE_BYTES:
             self._clear()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
@@ -364,7 +388,7 @@ def _count_words(path: str, most: int):
             seen = np.bincount(numbers, minlength=runs.size)
             seen[: len(totals)] += totals
             totals = seen
-            if runs.size > most:
+            if runs.size > most or len(runs.held) > CACHE_BYTES:
                 yield told(cutter, texts, totals)
                 runs, texts, totals = Runs(), [], np.zeros(0, np.int64)
         if texts:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,46 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ambler.plans.tables import discard, materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is absent (a local session in tests) one temporary folder
-    of this process is set instead and removed at exit.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ambler-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs a re-read of files, not a rerun.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ambler-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 #: Arrow batches between the JVM and Python workers: rows and bytes at most (one row at least).
 BATCH_ROWS = 512
 BATCH_BYTES = "8m"
@@ -94,13 +57,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         yield batch.slice(first)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", checkpoint_every: int = 1) -> DataFrame:
+def _state(edges: DataFrame) -> tuple:
+    """Count and 128 bits over a set of edges: equal where the edges are the same."""
+    return tuple(edges.agg(F.count("*"), *[F.bit_xor(F.xxhash64(F.lit(i), "lo", "hi")) for i in range(2)]).first())
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected edge list: rows (node, label), label the least node.
 
-    Alternates the large-star and small-star steps.  Every step groups by node
-    after partial aggregation and joins the minimum back to the edges, so a hub's
-    edges stay in many tasks.  Stops when a round changes no edge.  Loops and
-    nulls are ignored; nodes without edges have no row.
+    Alternates the large-star and small-star steps.  Every step takes each node's
+    least neighbour, with partial aggregation, and joins it back to the edges.  The
+    minima are written before that join, which then deals both sides anew, so that
+    Spark can split a hub's edges over tasks.  Stops when a round changes no edge.
+    Loops and nulls are ignored; nodes without edges have no row.
     """
     now = materialize(
         edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
@@ -110,24 +79,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", checkpoin
     )
     before = None
     while True:
-        signature = now.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum(F.hash("lo", "hi").cast("long")), F.lit(0)).alias("h")
-        ).first()
-        state = (signature.n, signature.h)
+        state = _state(now)
         if state == before or state[0] == 0:
             break
         before = state
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(
             now.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        ).where("lo <> hi").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = materialize(
+            both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct(),
+            "cc-large",
+        )
         # Small star: of the smaller neighbours of hi, the least takes the others.
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
-        small = joined.select(
+        least_lo = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "cc-least")
+        small = large.join(least_lo, "hi").select(
             F.explode(
                 F.array(
                     F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")),
@@ -136,7 +102,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", checkpoin
             ).alias("e")
         ).select("e.lo", "e.hi")
         after = materialize(small.where("lo <> hi").distinct(), "cc-edges")
-        discard(now)
+        discard(now, least, large, least_lo)
         now = after
     nodes = now.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     return nodes.unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("label"))).distinct()

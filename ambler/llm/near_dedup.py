@@ -10,13 +10,15 @@ threshold are linked, and a class is a connected component of links.
    m (m - 1) / 2 tables.  A collection value that no other set has cannot be in a
    shared pair; those are dropped before pairs are formed, which leaves most sets
    with no table rows at all.
-3. Star: in each bucket every set is compared with the bucket's least one, on the
-   full sets, and components are taken.
-4. Rest: in each bucket that still spans several components (of buckets with the
-   same content one is taken), the sets outside its
-   largest component are compared with the bucket's others by blocks of bounded
-   size; every pair of the bucket across components is tested there.  Sets that
-   are linked already are not paired again, no bucket is capped.
+3. Star: a bucket's head is its least set, and a set is compared on the full sets with
+   each head that leads a bucket of its, once however many tables share the two; then
+   components are taken.
+4. Rest: a head's group, all sets of the buckets it leads, may still span several
+   components.  There the sets outside the largest one are compared with the group's others
+   by blocks of bounded size, so every pair of a bucket across components is tested.
+   Sets that are linked already are not paired again, no bucket is capped.
+
+Sets whose sizes alone exclude the threshold are not fetched for the star.
 
 At J = 0.85, r = 3 and m = 14 a pair shares a bucket with probability 0.99996; at
 0.8, m = 18 gives 0.99995.
@@ -139,7 +141,7 @@ class _Union:
 
 
 def _cross(num: int, den: int):
-    """applyInArrow over a block: links between its outliers and its other sets.
+    """applyInArrow over a block: links of components, found between its outliers and its other sets.
 
     Postings of the block's sets give each outlier's overlap with all others in one
     count.  Links inside what the block knows to be one component are not repeated.
@@ -147,7 +149,6 @@ def _cross(num: int, den: int):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        sids = group.column("sid").to_pylist()
         labels = group.column("label").to_pylist()
         side = np.array(group.column("side").to_pylist())
         lists = group.column("shingles").combine_chunks()
@@ -167,7 +168,7 @@ def _cross(num: int, den: int):
             both = np.bincount(owner[at], minlength=len(sets))
             for j in np.flatnonzero(den * both >= num * (sizes[i] + sizes - both)):
                 if known.join(labels[i], labels[j]):
-                    links.append((sids[i], sids[j]))
+                    links.append((labels[i], labels[j]))
         return pa.table(
             {"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())}
         )
@@ -182,6 +183,11 @@ def near_duplicate_classes(
 
     (component_id, component_h) is the least row of the class; null ids come last.
     """
+    return _classes(docs, threshold, r, m, k)[0]
+
+
+def _classes(docs: DataFrame, threshold: Fraction, r: int, m: int, k: int = SHINGLE) -> tuple[DataFrame, list[DataFrame]]:
+    """The classes, and the tables that they still read."""
     num, den = threshold.numerator, threshold.denominator
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash().alias("h")
@@ -196,15 +202,15 @@ def near_duplicate_classes(
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
     nodes = signed.where("sid is not null").groupBy("sid")
 
-    # Collections that another set shares, then the pairs of them.
+    # Collections that another set shares, then the pairs of them. A collection's number is part of its hash.
     single = nodes.agg(F.first("keys").alias("keys"), F.max("n_shingles").alias("size")).select(
-        "sid", "size", F.posexplode("keys").alias("c", "key")
+        "sid", "size", F.explode("keys").alias("key")
     )
-    shared = single.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     live = materialize(
-        single.join(shared, ["c", "key"])
+        single.join(shared, "key")
         .groupBy("sid", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("live"))
+        .agg(F.array_sort(F.collect_list("key")).alias("live"))
         .where("size(live) > 1"),
         "collections",
     )
@@ -219,52 +225,52 @@ def near_duplicate_classes(
             )
         ).alias("bucket"),
     )
-    heads = bucketed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sid").alias("head")).where("n > 1").drop("n")
-    members = materialize(bucketed.join(heads, "bucket").select("bucket", "sid", "size", "head"), "buckets")
-
-    # Each set against the least of each of its buckets, on full sets.
+    heads = bucketed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("sid", "size")).alias("head")).where("n > 1").drop("n")
+    # Many tables bring the same sets together: a set once for each head that leads a bucket of its.
     stars = materialize(
-        members.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct(), "stars"
+        bucketed.join(heads, "bucket")
+        .where(F.col("sid") != F.col("head.sid"))
+        .select(F.col("head.sid").alias("a"), F.col("head.size").alias("size_a"), F.col("sid").alias("b"), F.col("size").alias("size_b"))
+        .distinct(),
+        "stars",
     )
+    discard(live)
+
+    # Each set against its heads, on full sets; sizes too far apart need no look.
     wanted = stars.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     holders = nodes.agg(F.min("h").alias("h")).join(wanted, "sid", "left_semi").select("h").distinct()
     sets = materialize(in_arrow(docs.join(holders, "h").select("text"), _sets(k), "sid binary, shingles array<long>"), "sets")
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+    near = F.lit(den).cast("long") * F.least("size_a", "size_b") >= F.lit(num).cast("long") * F.greatest("size_a", "size_b")
     starred = materialize(
-        stars.join(right, "b").join(left, "a").where(similar(F.col("sa"), F.col("sb"), num, den)).select("a", "b"), "links"
+        stars.where(near).select("a", "b").join(right, "b").join(left, "a").where(similar(F.col("sa"), F.col("sb"), num, den)).select("a", "b"),
+        "links",
     )
-    labels = connected_components(starred)
+    starred_labels = labels = materialize(connected_components(starred).withColumnRenamed("node", "sid"), "labels")
 
-    # Buckets of several components: outliers against the rest, by blocks.
-    known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "bucket", "sid", "size", F.coalesce("label", "sid").alias("label")
+    # Groups of a head that span several components: outliers against the rest, by blocks.
+    grouped = stars.select(F.col("a").alias("head"), F.col("b").alias("sid"), F.col("size_b").alias("size")).unionAll(
+        stars.select(F.col("a").alias("head"), F.col("a").alias("sid"), F.col("size_a").alias("size")).distinct()
+    )
+    known = materialize(
+        grouped.join(labels, "sid", "left").select("head", "sid", "size", F.coalesce("label", "sid").alias("label")), "groups"
     )
-    content = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in range(2)]
-    parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("load"), *content)
+    parts = known.groupBy("head", "label").agg(F.count("*").alias("n"), F.sum("size").alias("load"))
     blocks_of = lambda load: F.ceil(load / BLOCK_SHINGLES)
-    mixed = (
-        parts.groupBy("bucket")
-        .agg(
-            F.count("*").alias("labels"),
-            F.sum("n").alias("n"),
-            F.max(F.struct("n", "label", "load")).alias("main"),
-            F.sum("load").alias("load"),
-            *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)],
-        )
+    mixed = materialize(
+        parts.groupBy("head")
+        .agg(F.count("*").alias("labels"), F.max(F.struct("n", "label", "load")).alias("main"), F.sum("load").alias("load"))
         .where("labels > 1")
-        # Tables often bring the same sets together; one bucket of equal content is enough.
-        .groupBy("n", "x0", "x1")
-        .agg(F.min_by(F.struct("bucket", "main", "load"), "bucket").alias("b"))
-        .select("b.*")
         .select(
-            "bucket",
+            "head",
             F.col("main.label").alias("main"),
             blocks_of(F.col("main.load")).alias("mains"),
             blocks_of(F.col("load") - F.col("main.load")).alias("outs"),
-        )
+        ),
+        "mixed",
     )
-    spread = known.join(mixed, "bucket").withColumn("out", F.col("label") != F.col("main"))
+    spread = known.join(mixed, "head").withColumn("out", F.col("label") != F.col("main"))
     own = F.pmod(F.xxhash64("sid"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).alias("own")
     # A block is part o of the outliers with part x of the main component (kind 0) or of the outliers (kind 1).
     block = lambda o, kind, x, side: F.struct(
@@ -278,17 +284,24 @@ def near_duplicate_classes(
     as_main = F.transform(upto("outs"), lambda o: block(o, 0, F.col("own"), 1))
     blocks = (
         spread.select("*", own)
-        .select("bucket", "sid", "label", F.explode(F.when(F.col("out"), as_out).otherwise(as_main)).alias("block"))
-        .select("bucket", "sid", "label", "block.*")
+        .select("head", "sid", "label", F.explode(F.when(F.col("out"), as_out).otherwise(as_main)).alias("block"))
+        .select("head", "sid", "label", "block.*")
         .join(sets, "sid")
     )
-    crossed = blocks.groupBy("bucket", "o", "kind", "x").applyInArrow(_cross(num, den), "a binary, b binary")
-    links = materialize(starred.unionAll(crossed).distinct(), "links")
-    labels = connected_components(links)
+    crossed = materialize(
+        blocks.groupBy("head", "o", "kind", "x").applyInArrow(_cross(num, den), "a binary, b binary").distinct(), "crossed"
+    )
+    # What the second comparison linked are components of the first.
+    joined = materialize(connected_components(crossed), "joined")
+    labels = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("over")), "label", "left").select(
+        "sid", F.coalesce("over", "label").alias("label")
+    ).unionAll(
+        joined.join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("sid"), "label")
+    )
 
     least = nodes.agg(F.min(row).alias("least"))
     classes = materialize(
-        least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")),
+        least.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")),
         "labelled",
     )
     # Written first, so that the join deals both sides anew and can split a class of many sets.
@@ -299,15 +312,16 @@ def near_duplicate_classes(
         ),
         "classes",
     )
-    discard(live, members, stars, sets, starred, links, classes, first)
+    discard(stars, sets, starred, starred_labels, known, mixed, crossed, joined, classes, first)
     alone = F.col("sid").isNull()
-    return signed.join(named, "sid", "left").select(
+    told = signed.join(named, "sid", "left").select(
         "doc_id",
         "h",
         "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("h")).otherwise(F.col("component_h")).alias("component_h"),
     )
+    return told, [signed, named]
 
 
 def row_hash() -> Column:
@@ -316,9 +330,12 @@ def row_hash() -> Column:
 
 def keep_one(docs: DataFrame, threshold: Fraction = Fraction(80, 100), r: int = 3, m: int = 18) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, in the same columns."""
-    classes = near_duplicate_classes(docs.select("doc_id", "text"), threshold, r, m)
+    classes, used = _classes(docs.select("doc_id", "text"), threshold, r, m)
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id")
-    dropped = classes.where("not (h <=> component_h and doc_id <=> component_id)").select(id_key, F.col("h").alias("__h"))
+    dropped = materialize(
+        classes.where("not (h <=> component_h and doc_id <=> component_id)").select(id_key, F.col("h").alias("__h")), "dropped"
+    )
+    discard(*used)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), id_key, row_hash().alias("__h"))
     rest = keyed.join(dropped, ["__id", "__h"], "left_anti").dropDuplicates(["__id", "__h"])
     return rest.select("__row.*")

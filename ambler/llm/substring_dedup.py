@@ -98,13 +98,11 @@ class Chunks:
         self.bounds = np.searchsorted(self.first, words.bounds)
         n = len(words.hash)
         place = np.arange(n) - np.repeat(self.first, self.size)
-        weights = np.full(LONGEST + 1, _STEP, np.uint64)
-        weights[0] = 1
-        weights = np.multiply.accumulate(weights)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * weights[place], dtype=np.uint64)]) if n else np.zeros(1, np.uint64)
+        # The place goes through the mixing step, so that no pattern of words cancels out.
+        placed = mix(words.hash ^ mix(place.astype(np.uint64) * np.uint64(_STEP) + np.uint64(1)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed, dtype=np.uint64)])
         self.digest = mix(sums[self.last + 1] - sums[self.first] + self.size.astype(np.uint64)) if n else np.zeros(0, np.uint64)
 
-
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Digest and words of each pair of neighbours, of the chunk alone in rows of one; and each row's bounds."""
         counts = np.diff(self.bounds)

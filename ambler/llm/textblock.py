@@ -1,13 +1,14 @@
 """Words of an Arrow text column as numpy arrays, without a Python object per word.
 
-A word is a run of bytes other than 0x20 and 0x09 to 0x0D.  Its 64-bit hash is a
-polynomial over random byte values, finished by a mixing step; equal words have
-equal hashes in every process.
+A word is a run of bytes other than 0x20 and 0x09 to 0x0D.  Its 64-bit hash takes
+eight bytes at a time, each step a bijection of the state that the next bytes enter,
+so unlike words of at most eight bytes and equal length never collide; words over
+``LONG`` bytes have a BLAKE2b digest.  Equal words have equal hashes in every process.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD1342543DE82EF95
+#: Bytes up to which words are hashed and compared by lanes of eight.
+LONG = 64
+#: The bytes of a lane that belong to a word with so many bytes left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,11 +35,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data`` on, zeros behind its end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _by_lane(size: np.ndarray):
+    """(words that have bytes left, bytes done, mask) for every lane of the words up to LONG bytes."""
+    active, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(active):
+        left = size[active] - at
+        yield active, at, _MASKS[np.minimum(left, 8)]
+        active, at = active[left > 8], at + 8
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    lanes = _lanes(data)
+    for active, at, mask in _by_lane(size):
+        out[active] = mix((out[active] ^ (lanes[start[active] + at] & mask)) * np.uint64(_STEP))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size[i]`` bytes of ``a`` from ``a_start[i]`` on equal those of ``b`` from ``b_start[i]`` on."""
+    out = np.ones(len(size), bool)
+    one, two = _lanes(a), _lanes(b)
+    for active, at, mask in _by_lane(size):
+        out[active] &= (one[a_start[active] + at] ^ two[b_start[active] + at]) & mask == 0
+    for i in np.flatnonzero(size > LONG):
+        out[i] = np.array_equal(a[a_start[i] : a_start[i] + size[i]], b[b_start[i] : b_start[i] + size[i]])
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +102,7 @@ class Words:
         else:
             self.start = self.end = np.zeros(0, np.int64)
         self.bounds = np.searchsorted(self.start, self.offsets)
-        up, down = _powers(max(1 << 20, 1 << max(n - 1, 0).bit_length()))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[_LOWER[self.data] if lower else self.data] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = word_hashes(_LOWER[self.data] if lower else self.data, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:
