@@ -8,7 +8,8 @@ most corrected hits wins, ties to the lesser name.
 
 Training reads a sample of labelled rows of bounded expected size, ``SAMPLE_DOCS``
 per language, chosen by a hash of doc_id; a filter holds at most ``GRAMS`` n-grams
-of its language, those seen most often there and not much more often elsewhere.
+of its language, those seen most often there and not much more often elsewhere.  A
+model has ``LANGS`` languages at most, which bounds its size.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0, as is
 everything when nothing was labelled; a text that hits no filter has score 0 and
@@ -20,7 +21,6 @@ result; further columns are not read by ``predict`` and pass through
 from __future__ import annotations
 
 import functools
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,8 @@ from ambler.llm.textblock import mix
 N = 4
 SAMPLE_DOCS = 1500
 GRAMS = 20_000
+#: Most languages of a model: those with the most labelled rows, ties to the lesser name.
+LANGS = 1024
 TABLE_WORDS = 1 << 18
 HASHES = 3
 #: A gram belongs to a language where its share is at least this part of its largest share.
@@ -41,7 +43,6 @@ SHARE = 0.25
 UNDETERMINED = "und"
 MIN_SCORE = 0.30
 _SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @functools.lru_cache(maxsize=1)
@@ -55,16 +56,17 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Texts are lower-cased, each run of other characters than letters counts as one
     space, and a text begins and ends with one.
     """
-    points = np.frombuffer(" ".join(["", *(t.lower().replace("\0", " ") + "\0" for t in texts)]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("\0".join(" " + t.lower().replace("\0", " ") + " " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = points == 0
     letter = _letters()[points]
-    code = np.where(letter, points, np.uint32(32))
-    keep = letter | ends
+    keep = letter.copy()
     keep[1:] |= letter[:-1]
-    keep[0] = True
-    code, ends = code[keep], ends[keep]
+    keep[:1] = True
+    keep[1:] |= ends[:-1]
+    keep &= ~ends
+    code = np.where(letter, points, np.uint32(32))[keep]
+    owner = np.cumsum(ends)[keep]
     n = len(code) - N + 1
-    owner = np.concatenate([[0], np.cumsum(ends)[:-1]])
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     total = np.zeros(n, np.uint64)
@@ -135,28 +137,28 @@ def build(langs: list[str], grams: dict[str, np.ndarray]) -> Model:
     return Model(langs, tables, wrong)
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS) -> Model:
-    """Model from rows (doc_id, text, lang); lang not null."""
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS, most_langs: int = LANGS) -> Model:
+    """Model of the ``most_langs`` languages with the most rows, from rows (doc_id, text, lang); lang not null."""
     labelled = labelled.where("lang is not null")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = {r.lang: r.n for r in counted.collect()}
     langs = sorted(sizes)
     if not langs:
         return build([], {})
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
+    spark = labelled.sparkSession
+    shares = spark.createDataFrame([(lang, min(1.0, sample_docs / n)) for lang, n in sizes.items()], "lang string, share double")
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     counts = (
-        in_arrow(labelled.where(drawn < share).select("text", "lang"), _count, "lang string, gram long, n long")
+        in_arrow(labelled.join(F.broadcast(shares), "lang").where(drawn < F.col("share")).select("text", "lang"), _count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    largest = shares.groupBy("gram").agg(F.max("share").alias("most"))
+    told = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
+    largest = told.groupBy("gram").agg(F.max("share").alias("most"))
     chosen = (
-        shares.join(largest, "gram")
+        told.join(largest, "gram")
         .where(F.col("share") >= SHARE * F.col("most"))
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= grams)
@@ -182,7 +184,7 @@ def _predict(model):
                 best = hits.argmax(axis=1)
                 top = hits[np.arange(len(texts)), best] / np.maximum(np.diff(bounds), 1)
             for i, text in enumerate(texts):
-                known = bool(held.langs) and _LETTER.search(text) is not None
+                known = bool(held.langs) and any(map(str.isalpha, text))
                 preds.append(held.langs[best[i]] if known else UNDETERMINED)
                 scores.append(float(min(1.0, top[i])) if known else 0.0)
             rest = [c for c in batch.schema.names if c != "text"]

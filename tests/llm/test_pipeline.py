@@ -1,6 +1,7 @@
 """The pipeline on a small fixture against plain Python, stage by stage."""
 
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -10,7 +11,7 @@ import pytest
 import zstandard
 from support import DATA
 from test_dedup import brute, edited, shingles
-from test_text import base, language
+from test_text import base, gram_hash, language, mixed, plain_grams
 from util import prose, table
 
 import corpus_pipeline as pipeline
@@ -37,9 +38,9 @@ def by_language(rows, model):
     for doc_id, text in rows:
         if not text or not any(c.isalpha() for c in text):
             continue
-        hashes, _ = langid._grams([text])
+        hashes = [gram_hash(g) for g in plain_grams(text)]
         hits = np.zeros(len(model.langs))
-        for h in hashes.tolist():
+        for h in hashes:
             mask = ~0
             for i in range(langid.HASHES):
                 mask &= int(model.tables[0][(h >> (20 * i)) % langid.TABLE_WORDS])
@@ -72,26 +73,72 @@ def without_copies(rows):
     return [row for row, (_, _, component) in zip(rows, (dict((x[0], x) for x in brute(rows, Fraction(80, 100)))[i] for i, _ in rows)) if row[0] == component]
 
 
+def plain_chunks(text):
+    """(words, first byte, end byte) of every chunk, word by word."""
+    held = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", held)]
+    values = []
+    for _, end in spans:
+        h = 0
+        for byte in held[max(0, end - 32) : end]:
+            h = (2 * h + int(substring_dedup._GEAR[byte])) % 2**32
+        values.append(mixed(h))
+    n, reach = len(spans), substring_dedup.REACH
+    ends, begun, since = [], None, 0
+    for i, v in enumerate(values):
+        lowest = all(0 <= i - d and v < values[i - d] and i + d < n and v <= values[i + d] for d in range(1, reach + 1))
+        if any(i >= d and values[i - d] == v for d in range(1, reach + 1)):
+            begun = i if begun is None else begun
+        else:
+            begun = None
+        since += 1
+        if lowest or i == n - 1 or since == substring_dedup.LONGEST or (begun is not None and (i - begun) % substring_dedup.PERIODIC == 0):
+            ends.append(i)
+            since = 0
+    firsts = [0, *(e + 1 for e in ends[:-1])]
+    return [(tuple(held[a:b] for a, b in spans[f : e + 1]), spans[f][0], spans[e][1]) for f, e in zip(firsts, ends)]
+
+
+def windows(chunks):
+    return [c[0] for c in chunks] if len(chunks) == 1 else [(a[0], b[0]) for a, b in zip(chunks, chunks[1:])]
+
+
+def test_chunks_equal_plain_python():
+    same = ["a " * 500, "| --- | " * 90, "", "x", " ".join(f"w{i}" for i in range(700)), "é\u3000ü " * 40 + prose(9, 300), "ab\ncd " * 100 + prose(4, 20)]
+    texts = [prose(i, 3 + 37 * i) for i in range(25)] + same
+    words = Words(pa.array(texts), lower=False)
+    chunks = substring_dedup.Chunks(words)
+    names = {}
+    for i, text in enumerate(texts):
+        expected = plain_chunks(text)
+        at = range(chunks.bounds[i], chunks.bounds[i + 1])
+        got = [(int(words.start[chunks.first[c]] - words.offsets[i]), int(words.end[chunks.last[c]] - words.offsets[i])) for c in at]
+        assert got == [c[1:] for c in expected], repr(text[:60])
+        for c, (held, _, _) in zip(at, expected):
+            assert names.setdefault(int(chunks.digest[c]), held) == held
+    assert len(set(names.values())) == len(names)
+
+
 def without_passages(rows):
-    cut = {i: substring_dedup.Chunks(Words(pa.array([t]), lower=False)) for i, t in rows}
+    cut = {i: plain_chunks(t) for i, t in rows}
     first = {}
     for i in sorted(cut):
-        for d in cut[i].windows()[0].tolist():
-            first.setdefault(d, i)
+        for w in windows(cut[i]):
+            first.setdefault(w, i)
     out = []
     for i, text in rows:
-        words, chunks = Words(pa.array([text]), lower=False), cut[i]
-        marked = [first[d] != i for d in chunks.windows()[0].tolist()]
-        dup = [any(marked[max(0, c - 1) : c + 1]) for c in range(len(chunks.size))]
+        chunks = cut[i]
+        marked = [first[w] != i for w in windows(chunks)]
+        dup = [any(marked[max(0, c - 1) : c + 1]) for c in range(len(chunks))]
         held, k = text.encode(), 0
         keep, last = [], 0
         while k < len(dup):
             end = k
             while end < len(dup) and dup[end]:
                 end += 1
-            if end > k and chunks.size[k:end].sum() >= substring_dedup.MIN_WORDS:
-                keep.append(held[last : words.start[chunks.first[k]]])
-                last = int(words.end[chunks.last[end - 1]])
+            if end > k and sum(len(c[0]) for c in chunks[k:end]) >= substring_dedup.MIN_WORDS:
+                keep.append(held[last : chunks[k][1]])
+                last = chunks[end - 1][2]
             k = max(end, k + 1)
         out.append((i, b"".join([*keep, held[last:]]).decode()))
     return out
