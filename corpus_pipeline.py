@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ambler.llm import langid, near_dedup, packing, quality, substring_dedup
-from ambler.llm.common import materialize, table
+from ambler.llm.common import discard, materialize, table
 
 
 def identify_language(spark, docs, sf_dir):
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        done = materialize(stage(spark, docs, sf_dir), name)
+        if docs is not documents:
+            discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
