@@ -33,9 +33,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--n", type=int, default=4000, help="seeds: vertices 0 to n - 1")
     p.add_argument("--full", action="store_true", help="one seed for every vertex")
     p.add_argument("--k", type=int, default=2, help="neighbours for each hop")
-    p.add_argument("--d", type=int, help="hops, or moves of a walk")
+    p.add_argument("--d", type=int, help="hops, or moves of a walk; 100 for the applications that walk, else 2")
     p.add_argument("--bias", action=argparse.BooleanOptionalAction, default=True, help="draw by weight")
-    p.add_argument("--ol", action=argparse.BooleanOptionalAction, default=True, help="draw from running weights, not from alias tables")
+    p.add_argument("--ol", action=argparse.BooleanOptionalAction, default=False, help="draw from running weights, not from alias tables")
     p.add_argument("--tp", type=float, default=0.0)
     p.add_argument("--p", type=float, default=2.0)
     p.add_argument("--q", type=float, default=0.5)
@@ -70,10 +70,10 @@ def spec_of(a: argparse.Namespace) -> walk.WalkSpec | None:
     """The walk to take, or None for a sample."""
     if a.sage or not (a.rw or a.deepwalk or a.ppr or a.node2vec):
         return None
-    depth = a.d if a.d is not None else 100
+    depth = a.d if a.d is not None else 100 if a.deepwalk or a.ppr or a.node2vec else 2
     bias = "node2vec" if a.node2vec else "weight" if a.bias else "uniform"
     tp = a.tp or (0.15 if a.ppr else 0.0)
-    return walk.WalkSpec(depth, bias, table=not a.ol and bias == "weight", tp=tp, p=a.p, q=a.q, seed=a.seed)
+    return walk.WalkSpec(depth, bias, table=not a.ol and bias == "weight", tp=tp, p=a.p, q=a.q, seed=a.seed, reject=a.node2vec and not a.bias)
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> dict:

@@ -30,8 +30,8 @@ class Channel(IntEnum):
     WEIGHT = 5
 
 
-def draw(walker: Column, step: Column | int, channel: int, seed: int = 0) -> Column:
-    """Uniform integer in [0, M)."""
+def draw(walker: Column, step: Column | int, channel: Column | int, seed: int = 0) -> Column:
+    """Uniform integer in [0, M); a channel given as a column holds 64-bit integers."""
     step = F.lit(step) if isinstance(step, int) else step
     fixed = F.lit(channel * _CHANNEL + seed).cast("long")
     h = (walker.cast("long") * _WALKER + step.cast("long") * _STEP + fixed) % M

@@ -173,11 +173,6 @@ def _relabelled(raw: DataFrame) -> DataFrame:
     return named.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
 
 
-def range_bounds(rows: DataFrame, parts: int) -> DataFrame:
-    """(src, first) with first the number of edges before the row, without one task for all rows."""
-    return _row_offsets(rows).withColumn("parts", F.lit(parts))
-
-
 def _row_offsets(rows: DataFrame, width: int = 4096) -> DataFrame:
     """Edges before each source: totals of blocks of ids are summed, then rows inside each block."""
     block = F.floor(F.col("src") / width)

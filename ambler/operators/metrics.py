@@ -27,6 +27,13 @@ def timed(build: Callable[[], DataFrame], step: str = "step") -> dict[str, float
     return {"ms": 1000 * seconds, "sampled_edges": edges, "mseps": edges / seconds / 1e6}
 
 
+def combined(parts: DataFrame) -> DataFrame:
+    """One row of runs side by side, from rows (ms, sampled_edges): the longest time, all edges, and their rate."""
+    return parts.agg(F.max("ms").alias("ms"), F.sum("sampled_edges").alias("sampled_edges")).withColumn(
+        "mseps", F.col("sampled_edges") / (F.col("ms") / 1000) / 1e6
+    )
+
+
 def write_metrics(spark, rows: list[dict], path: str) -> None:
     spark.createDataFrame(rows).write.mode("append").option("header", True).csv(path)
 
@@ -44,3 +51,8 @@ def first_walks(walks: DataFrame, n: int = 3) -> DataFrame:
 def first_samples(samples: DataFrame, instances: int = 4, slots: int = 30) -> DataFrame:
     """The first levels of the first samples, as printed."""
     return samples.where((F.col("instance") < instances) & (F.col("slot") < slots))
+
+
+def first_slots(table: DataFrame, n: int = 100) -> DataFrame:
+    """The first n slots of an alias table, as printed."""
+    return table.select("src", "pos", "prob", "alias_pos").orderBy("src", "pos").limit(n)

@@ -4,10 +4,12 @@ Rows (instance, hop, parent_slot, slot, node): hop 0 is the seed at slot 0, unde
 of a parent has slot parent_slot * fanout + i.  Methods:
 
 uniform            fanout draws with replacement
+uniform_least      min(fanout, degree) draws with replacement
 uniform_distinct   min(fanout, degree) different edges
 take_all           all edges in order where degree <= fanout, else as uniform
 alias              all edges in order where degree <= fanout, else weighted draws with
                    replacement from alias tables
+alias_draws        fanout weighted draws with replacement from alias tables, whatever the degree
 weighted_distinct  all edges where degree <= fanout, else fanout different edges, each
                    next one drawn in proportion to weight
 
@@ -21,13 +23,13 @@ from math import prod
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambler.functions.rng import Channel, M, draw
+from ambler.functions.rng import MAX_WALKER, Channel, M, draw
 from ambler.operators.alias import build_alias_table
 from ambler.operators.graph import Graph
-from ambler.plans.tables import materialize
+from ambler.plans.tables import discard, materialize
 
 SAGE_FANOUTS = (25, 10)
-METHODS = ("uniform", "uniform_distinct", "take_all", "alias", "weighted_distinct")
+METHODS = ("uniform", "uniform_least", "uniform_distinct", "take_all", "alias", "alias_draws", "weighted_distinct")
 
 
 def _distinct_slots(walker: Column, hop: int, f: int, seed: int) -> Column:
@@ -71,14 +73,16 @@ def _children(state: DataFrame, edges: DataFrame, method: str, hop: int, f: int,
         drawn = held.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(f - 1).cast("long"))))
         h = draw(parent * f + F.col("i"), hop, Channel.SLOT, seed)
         pos = h % F.col("deg")
-        if method != "uniform":
+        if method in ("uniform_least", "take_all", "alias"):
             drawn = drawn.where((F.col("deg") > f) | (F.col("i") < F.col("deg")))
+        if method in ("take_all", "alias"):
             pos = F.when(F.col("deg") <= f, F.col("i")).otherwise(pos)
         drawn = drawn.withColumn("pos", pos)
     moved = drawn.join(edges, ["node", "pos"])
     to, to_deg = F.col("to"), F.col("to_deg")
-    if method == "alias":
-        keep = (F.col("deg") <= f) | (draw(parent * f + F.col("i"), hop, Channel.COIN, seed) < F.col("prob") * M)
+    if method in ("alias", "alias_draws"):
+        whole = (F.col("deg") <= f) if method == "alias" else F.lit(False)
+        keep = whole | (draw(parent * f + F.col("i"), hop, Channel.COIN, seed) < F.col("prob") * M)
         to, to_deg = F.when(keep, to).otherwise(F.col("alias_dst")), F.when(keep, to_deg).otherwise(F.col("alias_dst_deg"))
     return moved.select(
         "instance",
@@ -94,8 +98,10 @@ def neighbor_sample(graph: Graph, seeds: DataFrame, fanouts=SAGE_FANOUTS, method
     if method not in METHODS:
         raise ValueError(f"method: {method!r}")
     names = {"src": "node", "dst": "to", "dst_deg": "to_deg"}
-    if method == "alias":
-        table = build_alias_table(graph).where("valid")
+    made = []
+    if method in ("alias", "alias_draws"):
+        made.append(materialize(build_alias_table(graph).where("valid"), "alias"))
+        table = made[0]
         edges = table.select("src", "pos", "dst", "dst_deg", "prob", "alias_dst", "alias_dst_deg")
     else:
         edges = graph.edges.select("src", "pos", "dst", "dst_deg", *(["w"] if method == "weighted_distinct" else []))
@@ -109,12 +115,16 @@ def neighbor_sample(graph: Graph, seeds: DataFrame, fanouts=SAGE_FANOUTS, method
         F.coalesce("deg", F.lit(0).cast("long")).alias("deg"),
     )
     stride = prod(fanouts)
+    limit = MAX_WALKER // max(stride * max(fanouts, default=1), 1)
+    told = F.raise_error(F.lit(f"with these fan-outs instances are numbers below {limit}"))
+    state = state.withColumn("instance", F.when(F.col("instance").isNull() | (F.col("instance") < limit), F.col("instance")).otherwise(told))
     out = None
     for hop, f in enumerate([None, *fanouts]):
         if f is not None:
             state = materialize(_children(state, edges, method, hop, f, stride, seed), "hop")
         rows = state.select("instance", F.lit(hop).alias("hop"), "parent_slot", "slot", "node")
         out = rows if out is None else out.unionAll(rows)
+    discard(*made)
     return out
 
 

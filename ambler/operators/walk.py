@@ -160,7 +160,8 @@ class _Steps:
 
     def spread(self, df: DataFrame, *keys: str) -> DataFrame:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.kept.append(df.repartition(n, *keys).persist())
+        # In the order of a merge join too, so that no step sorts it again.
+        self.kept.append(df.repartition(n, *keys).sortWithinPartitions(*keys).persist())
         return self.kept[-1]
 
     def close(self) -> None:
@@ -316,20 +317,11 @@ class _SecondOrder(_Steps):
         """``state`` with the first accepted proposal in ``chosen``."""
         spec, context = self.spec, StepContext(t)
         h = lambda channel: draw(F.col("walker"), t, channel, spec.seed)
-        numbers = range(ATTEMPTS)
-        tries = F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("k"),
-                    (h(Channel.SLOT + APART * k) % F.col("deg")).alias("pos"),
-                    h(Channel.ACCEPT + APART * k).alias("y"),
-                    h(Channel.COIN + APART * k).alias("coin"),
-                )
-                for k in numbers
-            ]
-        )
-        none = F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("coin")))
-        rows = self.keyed(state.withColumn("node_", F.col("node")).withColumn("try", F.explode(F.when(F.col("alive"), tries).otherwise(none))).select("*", "try.*").drop("try"))
+        tries = F.when(F.col("alive"), F.sequence(F.lit(0).cast("long"), F.lit(ATTEMPTS - 1).cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
+        rows = state.withColumn("node_", F.col("node")).withColumn("k", F.explode(tries))
+        number = APART * F.col("k")
+        rows = rows.withColumn("pos", F.when(F.col("alive"), h(Channel.SLOT + number) % F.col("deg")).otherwise(F.lit(-1).cast("long")))
+        rows = self.keyed(rows.withColumn("y", h(Channel.ACCEPT + number)).withColumn("coin", h(Channel.COIN + number)))
         if self.proposals is None:
             rows = rows.join(self.edges, ["node", "pos"], "left")
         else:

@@ -56,5 +56,11 @@ def read_parquet(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(path))
 
 
+def write_edge_list(graph: Graph, path: str, weighted: bool = True) -> None:
+    """Lines ``src dst [w]``, as :func:`read_edge_list` takes them."""
+    columns = ("src", "dst", "w") if weighted else ("src", "dst")
+    graph.edges.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_walks(walks: DataFrame, path: str) -> None:
     walks.write.mode("overwrite").parquet(path)
