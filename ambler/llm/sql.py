@@ -86,11 +86,32 @@ def _verdicts(url: str) -> tuple[str, str, str]:
 def op3() -> str:
     host, path, rules = _verdicts("url")
     return f"""
-with recursive links as (
-    select url as a, case when t[1:1] = '/' and t[1:2] <> '//' then regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || t else t end as b
-    from (select url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*rel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-                 || regexp_extract_all(html, '(?is)<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)) as t
-          from pages where url is not null)
+with recursive tags as (
+    select url, unnest(list_concat(
+        list_transform(list_filter(regexp_extract_all(html, '(?is)<link\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\brel\\s*=\\s*["'']?canonical\\b')),
+                       lambda t: regexp_extract(t, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
+        list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)http-equiv\\s*=\\s*["'']?refresh\\b')),
+                       lambda t: regexp_extract(t, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)))) as raw
+    from pages where url is not null
+), targets as (
+    select url, regexp_replace(raw, '(?i)&(amp|#38|#x26);', '&', 'g') as t, regexp_extract(url, '^(.*?)://', 1, 's') as scheme,
+           regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') as site, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') as here
+    from tags
+), parts as (
+    select *, regexp_extract(t, '^([^?#]*)', 1, 's') as path, regexp_extract(t, '^[^?#]*(.*)$', 1, 's') as rest,
+           coalesce(nullif(regexp_extract(here, '^(.*/)', 1, 's'), ''), '/') as folder
+    from targets
+), segments as (
+    select *, string_split(case when starts_with(path, '/') then path else folder || path end, '/')[2:] as segs from parts
+), cleaned as (
+    select *, list_reduce(list_transform(segs, lambda s: [s]), lambda done, s: case when s[1] = '..' then done[:-2] when s[1] = '.' then done
+        else done || s end, []::varchar[]) as done
+    from segments
+), links as (
+    select url as a, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then t when site = '' then null when starts_with(t, '//') then scheme || ':' || t
+        when starts_with(t, '?') then site || coalesce(nullif(here, ''), '/') || t when t = '' or starts_with(t, '#') then null
+        else site || '/' || array_to_string(done, '/') || case when segs[-1] in ('.', '..') and len(done) > 0 then '/' else '' end || rest end as b
+    from cleaned
 ), edges as (
     select a, b from links where contains(b, '://') and a <> b union select b, a from links where contains(b, '://') and a <> b
 ), reach as (

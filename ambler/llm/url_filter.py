@@ -7,11 +7,15 @@ A url with a rule of its own follows it.  Any other is allowed if its component
 holds an explicitly allowed url, else blocked if it holds a blocked one, else
 allowed.
 
+Links are resolved against the page's url: with a scheme as they stand, ``//host/p``
+with the page's scheme, ``/p`` with its host, ``?q`` with its path, others with its
+folder; ``.`` and ``..`` are taken out of resolved paths, and ``&amp;`` is decoded.
+
 Edge cases: a url that is null or lacks ``://`` has an empty host and path, fits
-no rule and is a component of its own if null; relative links are resolved
-against the page's scheme and host (``/x``), others without ``://`` are ignored;
-a null html has no links; repeated pages and urls share one node; an empty table
-gives an empty result; further columns are not read.
+no rule and is a component of its own if null, and relative links in its html lead
+nowhere, as do empty ones, fragments and schemes without ``://``; a null html has no
+links; repeated pages and urls share one node; an empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: (tags, what a tag must have, where its target stands)
+_LINKS = (
+    (r"(?is)<link\b[^>]*>", r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?is)<meta\b[^>]*>", r"(?is)http-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
+)
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -58,23 +65,55 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.greatest(*fitting) if len(fitting) > 1 else fitting[0]
 
 
+def _targets(html: Column) -> Column:
+    """What canonical links and refresh redirects name, character references decoded."""
+
+    def named(tags: str, has: str, target: str) -> Column:
+        found = F.filter(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda t: t.rlike(has))
+        return F.transform(found, lambda t: F.regexp_replace(F.regexp_extract(t, target, 1), "(?i)&(amp|#38|#x26);", "&"))
+
+    return F.array_distinct(F.concat(*[named(*kind) for kind in _LINKS]))
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its segments ``.`` and ``..``."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    held = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(part == ".", done)
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(held) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(held, "/"), folder)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The url that a page's link ``to`` means; null if it leads nowhere."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    here = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(here, r"(?s)^(.*/)", 1)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), to)
+        .when(site == "", F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(site, _without_dots(path), rest))
+        .when(to.startswith("?"), F.concat(site, F.when(here == "", "/").otherwise(here), to))
+        .when((to == "") | to.startswith("#"), F.lit(None))
+        .otherwise(F.concat(site, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's url and one that it redirects to or names as canonical."""
-    targets = F.array_distinct(
-        F.concat(
-            *[F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(pattern), F.lit(1)) for pattern in (_LINK, _REFRESH)]
-        )
-    )
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     return (
         pages.where("url is not null and (html ilike '%canonical%' or html ilike '%refresh%')")
-        .select(F.col("url").alias("a"), site.alias("site"), F.explode(targets).alias("to"))
-        .select(
-            "a",
-            F.when(F.col("to").startswith("/") & ~F.col("to").startswith("//"), F.concat("site", "to"))
-            .otherwise(F.col("to"))
-            .alias("b"),
-        )
+        .select(F.col("url").alias("a"), F.explode(_targets(F.col("html"))).alias("to"))
+        .select("a", resolved(F.col("a"), F.col("to")).alias("b"))
         .where("contains(b, '://') and a <> b")
     )
 

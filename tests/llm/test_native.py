@@ -110,6 +110,44 @@ def test_blocks_spread_over_links_and_allows_take_precedence(spark):
     assert judged(spark, []) == {}
 
 
+LINKS = [
+    ("http://a.com/d/p?x=1", "//bad.net/x", "http://bad.net/x"),
+    ("https://a.com/d/p", "//h", "https://h"),
+    ("http://a.com/d/p?x=1#f", "q.html", "http://a.com/d/q.html"),
+    ("http://a.com", "q.html?a=1&amp;b=2", "http://a.com/q.html?a=1&b=2"),
+    ("http://a.com/d/e/p", "../q/./r", "http://a.com/d/q/r"),
+    ("http://a.com/d/e/p", "../../../../q", "http://a.com/q"),
+    ("http://a.com/d/e/p", "..", "http://a.com/d/"),
+    ("http://a.com/d/e/p", "./", "http://a.com/d/e/"),
+    ("http://a.com/d/e/p", "?z=/../1", "http://a.com/d/e/p?z=/../1"),
+    ("http://a.com", "?z", "http://a.com/?z"),
+    ("http://a.com/x", "/a/../b/", "http://a.com/b/"),
+    ("http://a.com/x", "/?u=http://b.net/", "http://a.com/?u=http://b.net/"),
+    ("http://a.com/x", "#top", None),
+    ("http://a.com/x", "mailto:x@y", None),
+    ("nowhere", "q", None),
+    ("nowhere", "http://b.com/", "http://b.com/"),
+]
+
+
+def test_links_are_resolved_like_the_sql(spark, tmp_path):
+    import duckdb
+
+    from ambler.llm.sql import op3
+
+    kinds = ['<link rel="canonical" href="{}">', "<LINK HREF='{}' rel=canonical>", '<meta http-equiv=refresh content="1; URL={}">']
+    rows = [(10 * i + k, f"{url}", kind.format(to)) for i, (url, to, _) in enumerate(LINKS) for k, kind in enumerate(kinds)]
+    df = spark.createDataFrame(rows, PAGES)
+    edges = {(r.a, r.b) for r in url_filter.link_edges(df).collect()}
+    assert edges == {(url, b) for url, _, b in LINKS if b}
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(url_filter.judge(df), con, op3())
+    got = judged(spark, [(1, "http://a.com/p", kinds[0].format("//bad.net/x")), (2, "http://ok.com/", kinds[1].format("p?a&amp;b")), (3, "http://ok.com/p?a&b", None)])
+    assert got[1].verdict == "block" and got[2].url_class == got[3].url_class
+
+
 def test_long_redirect_chain_and_hub(spark):
     hop = '<meta http-equiv=refresh content="0;url={}">'
     rows = [(i, f"http://c.com/{i}", hop.format(f"http://c.com/{i + 1}")) for i in range(60)] + [(60, "http://c.com/60", hop.format("http://x.net/"))]
