@@ -1,12 +1,15 @@
 """Exact top-k by inner product with dual-tree search over cover trees.
 
 Vectors are integers.  Every task of the scan packs its rows into blocks of at
-most ``BLOCK`` vectors, so no key decides a block's size.  Query blocks are dealt
-to all data blocks (the stated query set against all rows, in blocks); a task
-builds a data block's cover tree once and searches it with the query block's tree.
+most ``BLOCK`` vectors, so no key decides a block's size.  Data blocks are dealt to
+places, ``PLACE_BLOCKS`` to one where there are many, and every query block goes to
+every place once (the stated query set against all rows, in blocks); a task builds a
+data block's cover tree once and searches it with the query blocks' trees.  The kth
+score that a query block's queries reached in earlier blocks of a task prunes later ones.
 
 A cover tree node has a centre, a covering radius, and children whose centres are
-a net at half that radius.  For a query node (centre p, radius P) and a data node
+a net at 1 / ``BASE`` of that radius, so each child's radius is at most that.  A node
+whose net would have more children than fill leaves stays a leaf.  For a query node (centre p, radius P) and a data node
 (centre c, radius C) no score exceeds p.c + P |c| + C |p| + P C.  A pair of nodes
 is pruned where this is below the worst kth score of the query node's queries.
 Pairs are taken best bound first, and leaves are scored as one matrix product.
@@ -14,8 +17,10 @@ Pairs are taken best bound first, and leaves are scored as one matrix product.
 Edge cases: null vectors and those with a null or non-finite component take no
 part, as queries or candidates; vectors of unlike length are compared as if padded
 with zeros; ties go to the smaller vec_id; a query with fewer candidates than k
-returns all; rows with the query's own vec_id are no candidates; repeated query rows answer
-once; an empty table gives an empty result; further columns are not read.
+returns all; rows with the query's own vec_id are no candidates; a query id that is
+repeated answers once, with its least vector (component by component); components and
+scores beyond 64 bits count as the largest or least 64-bit number; an empty table gives
+an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +38,17 @@ from ambler.llm.common import in_arrow, materialize, table
 BLOCK = 4096
 QUERY_BLOCK = 512
 LEAF = 128
+#: Quotient of the radii of neighbouring levels.
+BASE = 1.3
+#: Data blocks that share a place, and query blocks whose scores a task remembers.
+PLACE_BLOCKS = 64
+REMEMBERED = 4096
 K = 5
 QUERY_STEP = 50
 SCALE = 256
 #: Components up to here make scores of 64 components exact in a double.
 _EXACT = 1 << 22
+_LEAST = -(2**63)
 
 
 class CoverTree:
@@ -55,8 +66,9 @@ class CoverTree:
             if self.end[node] - self.begin[node] <= leaf or self.radius[node] == 0:
                 continue
             kids = self._split(node, leaf)
-            self.children[node] = kids
-            stack.extend(kids)
+            if kids:
+                self.children[node] = kids
+                stack.extend(kids)
         self.centres = points[self.centre]
         self.norms = np.sqrt((self.centres**2).sum(axis=1))
         self.radius = np.array(self.radius)
@@ -69,7 +81,7 @@ class CoverTree:
         return len(self.centre) - 1
 
     def _split(self, node: int, leaf: int) -> list[int]:
-        """Children: a net at half the radius by farthest points, at most as many as fill leaves."""
+        """Children: a net of farthest points at the next level's radius; none if it is too fine to fill leaves."""
         begin, end = self.begin[node], self.end[node]
         own = self.order[begin:end]
         members = self.points[own]
@@ -77,11 +89,13 @@ class CoverTree:
         centres = [self.centre[node]]
         away = ((members - self.points[centres[0]]) ** 2).sum(axis=1)
         nearest = np.zeros(len(own), np.int64)
-        net = (self.radius[node] / 2) ** 2
-        while len(centres) < most:
+        net = (self.radius[node] / BASE) ** 2
+        while True:
             far = int(away.argmax())
             if away[far] <= net and len(centres) > 1:
                 break
+            if len(centres) == most:
+                return []
             centres.append(int(own[far]))
             d = ((members - members[far]) ** 2).sum(axis=1)
             closer = d < away
@@ -93,9 +107,13 @@ class CoverTree:
         return [self._node(int(e - c), int(e), centre) for e, c, centre in zip(ends, counts, centres, strict=True) if c]
 
 
-def dual_search(queries: CoverTree, data: CoverTree, query_ids: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query row the best k (score, position in data) under (score desc, id asc); -1 where there are fewer."""
+def dual_search(queries: CoverTree, data: CoverTree, query_ids: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Per query row the best k (score, position in data) under (score desc, id asc); -1 where there are fewer.
+
+    ``floor``: scores below it, known to be beaten k times elsewhere, are not wanted.
+    """
     n = len(query_ids)
+    floor = np.full(n, -np.inf) if floor is None else floor
     best = np.full((n, k), -np.inf)
     which = np.full((n, k), -1, np.int64)
     ids = np.full((n, k), np.iinfo(np.int64).max)
@@ -107,16 +125,18 @@ def dual_search(queries: CoverTree, data: CoverTree, query_ids: np.ndarray, data
         return top + 1e-9 * np.abs(top) + 1e-6
 
     def worst(q: int) -> float:
-        return best[queries.order[queries.begin[q] : queries.end[q]], k - 1].min()
+        rows = queries.order[queries.begin[q] : queries.end[q]]
+        return np.maximum(best[rows, k - 1], floor[rows]).min()
 
     def score(q: int, d: int) -> None:
         rows = queries.order[queries.begin[q] : queries.end[q]]
         cols = data.order[data.begin[d] : data.end[d]]
         found = queries.points[rows] @ data.points[cols].T
         found[query_ids[rows][:, None] == data_ids[cols][None, :]] = -np.inf
-        for i in np.flatnonzero(found.max(axis=1) >= best[rows, k - 1]):
+        limits = np.maximum(best[rows, k - 1], floor[rows])
+        for i in np.flatnonzero(found.max(axis=1) >= limits):
             row = rows[i]
-            take = np.flatnonzero((found[i] >= best[row, k - 1]) & (found[i] > -np.inf))
+            take = np.flatnonzero((found[i] >= limits[i]) & (found[i] > -np.inf))
             if not len(take):
                 continue
             scores = np.concatenate([best[row], found[i][take]])
@@ -152,7 +172,7 @@ def _exact(queries: np.ndarray, data: np.ndarray, query_ids, data_ids, k):
         ranked = heapq.nsmallest(
             k,
             (
-                (-sum(a * b for a, b in zip(q, c, strict=True)), name, j)
+                (-min(max(sum(a * b for a, b in zip(q, c, strict=True)), _LEAST), -1 - _LEAST), name, j)
                 for j, (c, name) in enumerate(zip(data.tolist(), data_ids.tolist(), strict=True))
                 if name != query_ids[i]
             ),
@@ -206,23 +226,30 @@ def _padded(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _search(k: int):
-    """mapInArrow over (block, ids, vectors, q_ids, q_vectors): query_id, vec_id, score."""
+    """mapInArrow over (block, ids, vectors, q_block, q_ids, q_vectors): query_id, vec_id, score."""
 
     def run(batches):
         last, tree = None, None
+        # Best k scores so far of the queries of each query block.
+        reached: dict[int, np.ndarray] = {}
         for batch in batches:
-            columns = [batch.column(c) for c in ("block", "ids", "vectors", "q_ids", "q_vectors")]
-            for block, ids, vectors, q_ids, q_vectors in zip(*columns, strict=True):
+            columns = [batch.column(c) for c in ("block", "ids", "vectors", "q_block", "q_ids", "q_vectors")]
+            for block, ids, vectors, q_block, q_ids, q_vectors in zip(*columns, strict=True):
                 data_ids, data = _unpacked(ids, vectors)
                 query_ids, queries = _unpacked(q_ids, q_vectors)
                 width = max(data.shape[1], queries.shape[1])
                 data, queries = _padded(data, width), _padded(queries, width)
-                most = max(int(np.abs(x).max(initial=0)) for x in (data, queries))
+                most = max(max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (data, queries))
                 rows = []
                 if most <= _EXACT and most * most * max(width, 1) < 1 << 53:
                     if last != (block.as_py(), width):
                         last, tree = (block.as_py(), width), CoverTree(data.astype(np.float64))
-                    best, which = dual_search(CoverTree(queries.astype(np.float64)), tree, query_ids, data_ids, k)
+                    before = reached.get(q_block.as_py())
+                    if before is None:
+                        before = np.full((len(query_ids), k), -np.inf)
+                    best, which = dual_search(CoverTree(queries.astype(np.float64)), tree, query_ids, data_ids, k, before[:, -1])
+                    if q_block.as_py() in reached or len(reached) < REMEMBERED:
+                        reached[q_block.as_py()] = -np.sort(-np.concatenate([before, best], axis=1), axis=1)[:, :k]
                     for i, j in zip(*np.nonzero(which >= 0), strict=True):
                         rows.append((query_ids[i], data_ids[which[i, j]], int(best[i, j])))
                 else:
@@ -250,19 +277,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have (vec_id, v array<long>)."""
     kind = "block long, ids binary, vectors binary"
     data = materialize(in_arrow(vectors, _blocks(BLOCK), kind), "data-blocks")
-    asked = materialize(in_arrow(queries.dropDuplicates(["vec_id"]), _blocks(QUERY_BLOCK), kind), "query-blocks")
-    # Number the data blocks 0, 1, ...: a window over block numbers alone, one row for BLOCK vectors.
-    numbers = data.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)
+    asked = materialize(in_arrow(queries.groupBy("vec_id").agg(F.min("v").alias("v")), _blocks(QUERY_BLOCK), kind), "query-blocks")
     count = data.count()
+    # As many places as tasks, more only where a place would have too many blocks.
+    tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = max(1, min(count, tasks), -(-count // PLACE_BLOCKS))
+    placed = data.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(places)).cast("int"))
     dealt = asked.select(
+        F.col("block").alias("q_block"),
         F.col("ids").alias("q_ids"),
         F.col("vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))).alias("place"),
+        F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"),
     )
     # Merged, never broadcast: dealt queries grow with the data. A task meets a data block's pairs one after the other.
-    pairs = data.join(F.broadcast(numbers), "block").join(dealt.hint("merge"), "place")
+    pairs = placed.join(dealt.hint("merge"), "place")
     found = in_arrow(
-        pairs.select("block", "ids", "vectors", "q_ids", "q_vectors"), _search(k), "query_id long, vec_id long, score long"
+        pairs.select("block", "ids", "vectors", "q_block", "q_ids", "q_vectors"), _search(k), "query_id long, vec_id long, score long"
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
