@@ -1,14 +1,14 @@
 """Chat formatting with a finite-state machine over roles, in DataFrame functions only.
 
-A template is data: for each role a header, a footer and a loss flag, plus the
-transitions between states.  ``format_conversations`` emits per conversation the
+A template is data: the two halves of a header around the role's name, a footer, the
+roles under the loss flag, and the transitions between states.  ``format_conversations`` emits per conversation the
 segments (text, loss flag), their concatenation, and whether the order of turns
 is accepted.  In texts and role names a backslash becomes ``\\b``, ``<`` becomes
 ``\\l`` and ``#`` becomes ``\\h``; so headers and footers, which hold ``#`` or
 ``<``, never occur inside, and ``parse`` restores texts exactly.
 
-Edge cases: a null text is empty; a null role is the empty role; roles without
-an entry in the template use its default entry and lead to the state ``error``;
+Edge cases: a null text is empty; a null role is the empty role; roles that no
+transition names have the same header and footer and lead to the state ``error``;
 rows with equal turn numbers are ordered by role, then text; repeated rows stay
 as turns of their own; null turn numbers come first; a null conversation id is an
 id like any other; an empty table gives an empty result; further columns are not
