@@ -199,11 +199,13 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chunks = materialize(
         in_arrow(source, _windows, "digest long, words int, doc_id long, h long, place int"), "chunks"
     )
-    repeated = (
+    # Written first, so that the join deals both sides anew and can split a window of many documents.
+    repeated = materialize(
         chunks.groupBy("digest")
         .agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"))
         .where("keeper < other")
-        .drop("other")
+        .drop("other"),
+        "repeated",
     )
     marks = materialize(
         chunks.join(repeated, "digest")
@@ -214,7 +216,7 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.transform("dups", lambda d: F.struct(d["place"], d["keeper"])).alias("dups")),
         "marks",
     )
-    discard(chunks)
+    discard(chunks, repeated)
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"),
         F.col("text").cast("string").alias("text"),
