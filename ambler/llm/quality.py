@@ -170,3 +170,8 @@ def keep_good(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, leve
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under the production bands."""
     return measure(table(spark, sf_dir, "documents"))
+
+
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base verdict of operator 8 for every document: the part of its rows that SQL can express."""
+    return measure(table(spark, sf_dir, "documents")).drop("ratio", "bad_chunk_bytes", "band_failed", "kept")

@@ -15,6 +15,7 @@ QUERIES = {
         chat.op6_chat_format,
         packing.op7_concat_packing,
         quality.op8_compression_quality,
+        quality.quality_base_rules,
         substring_dedup.op9_gear_substring_dedup,
         topk.op10_cover_tree_topk,
     )
@@ -26,4 +27,5 @@ ORACLES = {
     "op3_redirect_url_filter": sql.op3(),
     "op6_chat_format": sql.op6(),
     "op10_cover_tree_topk": sql.op10(),
+    "quality_base_rules": sql.quality_base(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ambler.llm import chat, near_dedup, sharding, url_filter
+from ambler.llm import chat, near_dedup, quality, sharding, url_filter
 
 
 def _quoted(text: str) -> str:
@@ -166,6 +166,35 @@ from convs
 """
 
 
+def quality_base() -> str:
+    return f"""
+with docs as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), words as (
+    select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l
+    from docs
+), places as (
+    select r, unnest(w) as x, generate_subscripts(w, 1) as i from words
+), threes as (
+    select r, i, x, lead(x) over following as y, lead(x, 2) over following as z from places window following as (partition by r order by i)
+), windows as (
+    select r, i, count(*) over (partition by r, x, y, z) as n from threes where z is not null
+), repeats as (
+    select r, count(distinct i + j) as n from windows, unnest([0, 1, 2]) as steps(j) where n > 1 group by r
+), counts as (
+    select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+           len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+    from words left join repeats using (r)
+)
+select doc_id::bigint as doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed
+from counts
+"""
+
+
 def op10() -> str:
     return """
 with v as (

@@ -6,14 +6,15 @@ import string
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from support import DATA
+from support import DATA, same_rows
 from pyspark.sql import functions as F
 from util import ODD, WORD, prose, store, table, with_clashes
 
-from ambler.llm import bpe, langid, packing, quality
+from ambler.llm import bpe, langid, packing, quality, sql
 from ambler.llm.textblock import Words
 
 SPECIAL = [
@@ -163,6 +164,13 @@ def test_counts_equal_brute_force(spark, tmp_path):
         assert r.kept == (not r.base_failed and not r.band_failed)
 
 
+def test_base_rules_equal_their_sql_on_odd_texts(spark, tmp_path):
+    folder = store(spark, tmp_path, "documents", table(spark, QUALITY))
+    with duckdb.connect() as duck:
+        duck.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+        same_rows(quality.quality_base_rules(spark, folder), duck, sql.quality_base())
+
+
 def test_bands_reject_repetition_and_noise(spark):
     r = random.Random(1)
     noise = " ".join("".join(chr(r.randrange(0x21, 0x7F)) for _ in range(40)) for _ in range(500))
