@@ -8,8 +8,8 @@ weights of 32 bits if the header says so.
 without weights.  ``option("headerOnly", "true")`` gives one row (version,
 edge_bytes, vertices, edges).  A read is cut into ranges of edges, each read by
 offset.  ``df.write.format("gr").mode("overwrite").save(path)`` is not offered: files
-are written whole, by :func:`write_gr`, from a graph within a stated bound.  The path
-must be one that every executor can open.
+are written whole, by :func:`write_gr`, each task its ranges.  The path must be one that
+every executor can open.
 """
 
 from __future__ import annotations
@@ -18,15 +18,16 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ambler.operators.graph import Graph
+from ambler.operators.graph import Graph, _row_offsets
+from ambler.plans.tables import discard, materialize
 
 _HEADER = struct.Struct("<4Q")
-#: Edges that write_gr takes to the driver.
-WRITE_EDGES = 20_000_000
+#: Vertices whose end offsets, and following edges that, write_gr's tasks write together.
+_IDS, _RUN = 4096, 1 << 16
 
 
 def read_header(path: str) -> tuple[int, int, int, int]:
@@ -128,16 +129,73 @@ def graph_from_gr(spark: SparkSession, path: str, weight_range: float = 1.0) ->
 
 
 def write_gr(graph: Graph, path: str, weighted: bool = True) -> None:
-    """One file; weights are rounded to whole numbers, as the format holds them."""
-    if graph.edges.count() > WRITE_EDGES:
-        raise ValueError(f"more than {WRITE_EDGES} edges: write Parquet instead")
-    rows = graph.edges.select("src", "pos", "dst", "w").orderBy("src", "pos").toArrow()
-    src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
-    n = int(max(src.max(initial=-1), dst.max(initial=-1))) + 1
+    """One file; weights are rounded to whole numbers, as the format holds them.
+
+    The driver writes the header; tasks write offsets and edges to their places in the
+    file, which driver and executors must reach by the same path.
+    """
+    edges = materialize(graph.edges.select("src", "pos", "dst", "w", "src_deg"), "gr")
+    last, m = edges.agg(F.max(F.greatest("src", "dst")), F.count("*")).first()
+    n = 0 if last is None else last + 1
+    if n > 1 << 32:
+        raise ValueError(f"destinations have 32 bits: {last}")
+    place, many = _HEADER.size + 8 * n, -(-n // _IDS)
+    end = place + 4 * m + (4 * (m % 2 + m) if weighted else 4 * (m % 2))
     with open(path, "wb") as f:
-        f.write(_HEADER.pack(1, 4 if weighted else 0, n, len(dst)))
-        f.write(np.cumsum(np.bincount(src, minlength=n)).astype("<u8").tobytes())
-        f.write(dst.astype("<u4").tobytes())
-        f.write(b"\0" * (4 * (len(dst) % 2)))
-        if weighted:
-            f.write(np.rint(rows.column("w").to_numpy()).astype("<u4").tobytes())
+        f.write(_HEADER.pack(1, 4 if weighted else 0, n, m))
+        f.truncate(end)
+    rows = edges.where("pos = 0").select("src", "src_deg", F.floor(F.col("src") / _IDS).alias("chunk"))
+    held = rows.groupBy("chunk").agg(F.collect_list("src").alias("ids"), F.collect_list("src_deg").alias("degs"), F.sum("src_deg").alias("n"))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = graph.spark.range(many).withColumnRenamed("id", "chunk").join(held.select("chunk", "n"), "chunk", "left")
+    bases = totals.select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
+    ends = bases.join(held.drop("n"), "chunk", "left")
+    numbered = edges.join(_row_offsets(rows.select("src", "src_deg")), "src").select((F.col("first") + F.col("pos")).alias("number"), "dst", "w")
+    shuffles = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = numbered.repartition(shuffles, F.floor(F.col("number") / _RUN)).sortWithinPartitions("number")
+    weights = place + 4 * (m + m % 2) if weighted else None
+    for df, write, wanted in ((ends, _write_ends(path, n), n), (numbered, _write_edges(path, place, weights), m)):
+        written = df.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+        if written != wanted:
+            raise OSError(f"{path}: {written} of {wanted} written")
+    discard(edges)
+
+
+def _write_ends(path: str, n: int):
+    """mapInArrow: end offsets of each chunk of _IDS vertices; gives how many were written."""
+    start, width = _HEADER.size, _IDS
+
+    def run(batches):
+        with open(path, "r+b") as f:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    a = r["chunk"] * width
+                    degs = np.zeros(min(width, n - a), np.int64)
+                    degs[np.array(r["ids"] or [], np.int64) - a] = r["degs"] or []
+                    f.seek(start + 8 * a)
+                    f.write((r["base"] + np.cumsum(degs)).astype("<u8").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([len(degs)], pa.int64())], ["n"])
+
+    return run
+
+
+def _write_edges(path: str, place: int, weights: int | None):
+    """mapInArrow: edges in the order of their numbers, runs of following numbers at once."""
+
+    def run(batches):
+        with open(path, "r+b") as f:
+            for batch in batches:
+                number, dst, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "dst", "w"))
+                dst, w = dst.astype("<u4"), np.rint(w).astype("<u4") if weights is not None else None
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(number) != 1) + 1, [len(number)]])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if a == b:
+                        continue
+                    f.seek(place + 4 * int(number[a]))
+                    f.write(dst[a:b].tobytes())
+                    if weights is not None:
+                        f.seek(weights + 4 * int(number[a]))
+                        f.write(w[a:b].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([len(number)], pa.int64())], ["n"])
+
+    return run

@@ -33,6 +33,20 @@ def test_round_trip_and_files_without_weights(spark, tmp_path):
         assert all(w == 1.0 if weighted else 0 <= w < 5 for (w,) in rows(back.edges.select("w")))
 
 
+def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Gaps between ids, sinks and runs that cross tasks; the driver takes no edges."""
+    edges = [(a, (a * 37 + k * 11) % 90, float(k + 1)) for a in range(0, 60, 3) for k in range(a % 7)] + [(70, 99, 3.0)]
+    monkeypatch.setattr(gr, "_IDS", 8)
+    monkeypatch.setattr(gr, "_RUN", 5)
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", None)
+    g, path = graph(spark, edges), str(tmp_path / "t.gr")
+    gr.write_gr(g, path)
+    assert gr.read_header(path) == (1, 4, 100, len(edges))
+    assert rows(gr.read_gr(spark, path)) == rows(g.edges.select("src", "pos", "dst", "w"))
+    gr.write_gr(graph(spark, []), path)
+    assert gr.read_header(path) == (1, 4, 0, 0) and rows(gr.read_gr(spark, path)) == []
+
+
 def test_bad_headers_are_refused(tmp_path):
     path = tmp_path / "bad.gr"
     for held in (b"", struct.pack("<4Q", 2, 0, 0, 0), struct.pack("<4Q", 1, 8, 0, 0)):
