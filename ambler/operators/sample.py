@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from ambler.functions.rng import MAX_WALKER, Channel, M, draw
 from ambler.operators.alias import build_alias_table
 from ambler.operators.graph import Graph
+from ambler.operators.packed import blocks, heaviest
 from ambler.plans.tables import discard, materialize
 
+#: Edges in a block of a vertex's row.
+BLOCK = 1024
 SAGE_FANOUTS = (25, 10)
 METHODS = ("uniform", "uniform_least", "uniform_distinct", "take_all", "alias", "alias_draws", "weighted_distinct")
 
@@ -50,12 +53,14 @@ def _children(state: DataFrame, edges: DataFrame, method: str, hop: int, f: int,
     parent = F.col("instance") * stride + F.col("slot")
     held = state.where("deg > 0")
     if method == "weighted_distinct":
+        # Edges that a block's least don't hold are left out before rows are ranked.
         key = draw(parent, F.col("pos"), Channel.KEY + 16 * hop, seed)
         order = F.when(F.col("deg") <= f, F.lit(0.0)).otherwise(-F.log((key + 1) / F.lit(float(M + 1))) / F.col("w"))
         rank = F.row_number().over(Window.partitionBy("instance", "slot").orderBy("order", "pos"))
+        number = F.explode(F.sequence(F.lit(0), F.floor((F.col("deg") - 1) / BLOCK).cast("int")))
+        rows = held.withColumn("parent", parent).withColumn("block", number).join(edges, ["node", "block"])
         return (
-            held.join(edges, "node")
-            .where((F.col("w") > 0) | (F.col("deg") <= f))
+            heaviest(rows, f, BLOCK, Channel.KEY + 16 * hop, seed)
             .withColumn("order", order)
             .withColumn("rank", rank)
             .where(F.col("rank") <= f)
@@ -103,9 +108,12 @@ def neighbor_sample(graph: Graph, seeds: DataFrame, fanouts=SAGE_FANOUTS, method
         made.append(materialize(build_alias_table(graph).where("valid"), "alias"))
         table = made[0]
         edges = table.select("src", "pos", "dst", "dst_deg", "prob", "alias_dst", "alias_dst_deg")
+        edges = edges.withColumnsRenamed(names)
+    elif method == "weighted_distinct":
+        edges = blocks(graph.edges, BLOCK).drop("deg")
+        edges = edges.repartition(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), "node", "block").sortWithinPartitions("node", "block").persist()
     else:
-        edges = graph.edges.select("src", "pos", "dst", "dst_deg", *(["w"] if method == "weighted_distinct" else []))
-    edges = edges.withColumnsRenamed(names)
+        edges = graph.edges.select("src", "pos", "dst", "dst_deg").withColumnsRenamed(names)
     degrees = graph.edges.where("pos = 0").select(F.col("src").alias("node"), F.col("src_deg").alias("deg"))
     state = seeds.join(degrees, "node", "left").select(
         F.col("instance").cast("long").alias("instance"),
@@ -124,6 +132,8 @@ def neighbor_sample(graph: Graph, seeds: DataFrame, fanouts=SAGE_FANOUTS, method
             state = materialize(_children(state, edges, method, hop, f, stride, seed), "hop")
         rows = state.select("instance", F.lit(hop).alias("hop"), "parent_slot", "slot", "node")
         out = rows if out is None else out.unionAll(rows)
+    if method == "weighted_distinct":
+        edges.unpersist()
     discard(*made)
     return out
 

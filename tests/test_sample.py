@@ -1,9 +1,13 @@
+import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from graphs import FORK, KITE, NO_BIAS, SINK, ZERO_EDGE, chi_square, graph, seeds
 from pyspark.sql import functions as F
 
+from ambler.functions.rng import Channel, M, draw_numpy
+from ambler.operators import sample
 from ambler.operators.sample import METHODS, frontier_sizes, neighbor_sample, sample_lengths
 
 
@@ -58,6 +62,27 @@ def test_weighted_draw_and_distinct_draw_frequencies(spark):
     assert chi_square(counts, {(1, 2): 1 / 3, (1, 3): 1 / 3, (2, 3): 1 / 3}) < 15
 
 
+def test_weighted_distinct_reads_rows_of_many_blocks(spark, monkeypatch):
+    """The same trees whatever a block holds, as ranked edge by edge; no plan has a row for every edge."""
+    edges = [(a, b, ((a * 5 + b * 3) % 7) / 3) for a in range(9) for b in range(30) if (a + b) % 4]
+    g, s = graph(spark, edges), seeds(spark, 45, name="instance").withColumn("node", F.col("instance") % 9)
+    held, found = {}, []
+    for a, b, w in sorted(edges):
+        held.setdefault(a, []).append((b, w))
+    for size in (1024, 4):
+        monkeypatch.setattr(sample, "BLOCK", size)
+        for f in (2, 11):
+            rows = neighbor_sample(g, s, (f,), "weighted_distinct").where("hop = 1").collect()
+            found.append((f, sorted((r.instance, r.slot, r.node) for r in rows)))
+    for f, rows in found:
+        expected = []
+        for i in range(45):
+            key = lambda pos, w: -math.log((int(draw_numpy(np.array([i * f]), pos, Channel.KEY + 16)[0]) + 1) / (M + 1)) / w  # noqa: B023, E731
+            best = sorted((key(pos, w), pos, b) for pos, (b, w) in enumerate(held[i % 9]) if w > 0)[:f]
+            expected += [(i, k, b) for k, (_, _, b) in enumerate(best)]
+        assert rows == sorted(expected)
+
+
 def test_lengths_and_frontiers(spark):
     rows = neighbor_sample(graph(spark, FORK), seeds(spark, 2, name="instance"), (5, 2), "take_all")
     assert [r.len for r in sample_lengths(rows).collect()] == [3, 3]
