@@ -124,6 +124,27 @@ def test_hub_rows_of_many_blocks(spark, monkeypatch):
     assert paths(random_walk(g, seeds(spark, 200), spec, "join")) == paths(random_walk(g, seeds(spark, 200), spec, "local"))
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_second_order_rows_packed_and_by_slot(spark, monkeypatch, block):
+    """The same walks from packed rows, by joins around vertices of more than a block, and in one pass."""
+    monkeypatch.setattr(walk, "BLOCK", block)
+    edges = [(a, b, ((a * 13 + b * 7) % 17 + 1) / 7) for a in range(9) for b in range(9) if a != b and (a * b) % 5 != 1 and (a < 4 or b < 4)] + [(2, 11, 0.5), (10, 0, 1.0)]
+    g, s = graph(spark, edges), seeds(spark, 90).withColumn("node", F.col("walker") % 13)
+    joins = []
+    monkeypatch.setattr(walk._SecondOrder, "joined", lambda self, *a, f=walk._SecondOrder.joined: (joins.append(1), f(self, *a))[1])
+    for spec in (WalkSpec(4, bias="node2vec", p=3.0, q=0.3), WalkSpec(4, bias="node2vec", p=9.0, q=1.5, reject=True), WalkSpec(3, bias="node2vec_floor", tp=0.2)):
+        assert paths(random_walk(g, s, spec, "join", segment=3)) == paths(random_walk(g, s, spec, "local"))
+    assert bool(joins) == (block == 3)
+    ups = lambda c: F.coalesce(c.state, F.lit(0)) + F.when(c.dst > c.node, 1).otherwise(0)
+    bias = lambda c: F.when(c.connected | (ups(c) > 2), 0.0).otherwise(c.w)
+    found = paths(random_walk(g, s, WalkSpec(4, bias=bias, update=ups)))
+    links = {(a, b) for a, b, _ in edges}
+    assert max(map(len, found.values())) > 2
+    for p in found.values():
+        assert sum(b > a for a, b in zip(p, p[1:])) <= 2 and all(e in links for e in zip(p, p[1:]))
+        assert not any((a, c) in links for a, c in zip(p, p[2:]))
+
+
 def test_own_bias_reads_the_walkers_state(spark):
     """Never back to the vertex before, and never more than twice upwards."""
     g = graph(spark, [(a, b, 1.0) for a in range(6) for b in range(6) if a != b])
