@@ -348,3 +348,24 @@ def test_false_positives_are_corrected():
     other = rng.integers(0, 2**63, 5000).astype(np.uint64)
     hits = model.hits(other, np.array([0, 5000]))
     assert model.wrong[0] > 0.5 and hits[0, 0] < 500
+
+
+def test_language_passes_hold_little_beside_the_heap():
+    """Counting and judging a batch of short texts takes a few slices' arrays, not the batch's."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from ambler.llm import langid
+
+    langid._letters()
+    texts = ["the quick brown fox jumps over the lazy dog " * 20] * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * len(texts))], ["text", "lang"])
+    model = SimpleNamespace(value=langid.build(["de", "en"], {"de": np.arange(9, dtype=np.uint64), "en": langid._grams(texts[:1])[0]}))
+    for run in (langid._count, langid._predict(model)):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < 40 << 20
