@@ -31,6 +31,12 @@ def test_alias_samples_keep_the_take_all_rule(spark):
         assert n == min((20, 5)[hop - 1], deg[at[i, hop - 1, parent]])
 
 
+def test_hops_read_the_written_graph(spark):
+    """No hop makes the graph from the tables again."""
+    rows = catalog.khop_chain(spark, DATA)
+    assert rows.inputFiles() and not any("lineitem" in f for f in rows.inputFiles())
+
+
 def test_contract():
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert callable(driver.entry)
